@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandflow.functions.session import table
-from strandflow.llm import overlap
+from strandflow.llm import components, overlap
 
 MIN_SHARE = 0.1
+MIN_ANI = 0.95
 
 
 def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -18,7 +20,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_overlaps(spark, d).select("sketch_path_a", "sketch_path_b").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.pair_groups(table(spark, d, "pairwise"), "query_name", "match_name", "average_containment_ani", MIN_ANI)
+
+
+def p6_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many groups there are of each size; size 1 are the singletons."""
+    sizes = p6_found(spark, d).groupBy("group_id").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("n_groups"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p6_found, p6_cluster_sizes)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
@@ -35,7 +47,20 @@ JOIN sizes y ON y.sketch_path = pb AND y.ksize = t.ksize AND y.seed = t.seed AND
 WHERE n_shared * 10 >= least(x.n, y.n)
 """
 
+_P6 = r"""
+WITH RECURSIVE p AS (
+  SELECT regexp_extract(query_name, '(\S+)', 1) AS a, regexp_extract(match_name, '(\S+)', 1) AS b,
+    CASE WHEN isnan(average_containment_ani) THEN NULL WHEN average_containment_ani > 1 THEN average_containment_ani / 100 ELSE average_containment_ani END AS m
+  FROM pairwise),
+e AS (SELECT a, b FROM p WHERE m >= 0.95 AND a <> b UNION SELECT b, a FROM p WHERE m >= 0.95 AND a <> b),
+v AS (SELECT a AS accession FROM p UNION SELECT b FROM p),
+reach AS (SELECT accession, accession AS other FROM v UNION SELECT r.accession, e.b FROM reach r JOIN e ON r.other = e.a),
+g AS (SELECT accession, min(other) AS group_id FROM reach GROUP BY 1)
+"""
+
 SQL = {
+    "p6_found": _P6 + "SELECT accession, group_id FROM g",
+    "p6_cluster_sizes": _P6 + "SELECT size, count(*) AS n_groups FROM (SELECT group_id, count(*) AS size FROM g GROUP BY 1) GROUP BY 1",
     "p1_found": _P1.format(more=""),
     "p1_overlaps": _P1.format(more=", t.ksize, t.seed, t.cut AS scaled, n_shared, x.n AS n_a, y.n AS n_b"),
 }
