@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in the sense of Unicode, for Java patterns (the no-break and zero-width spaces included).
-_SPACE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: White space in the sense of Unicode, the zero-width space and the byte order mark included.
+SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def strip_space(c: Column) -> Column:
     """``c`` without surrounding white space of any kind."""
-    return F.regexp_replace(c, rf"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
@@ -20,5 +20,5 @@ def blank(c: Column) -> Column:
 
 
 def base_name(c: Column) -> Column:
-    """The part of a path after its last slash, surrounding white space removed."""
-    return strip_space(F.regexp_replace(strip_space(c), r"^.*[/\\]", ""))
+    """The part of a path after its last slash (of either kind), surrounding white space removed."""
+    return strip_space(F.substring_index(F.substring_index(strip_space(c), "/", -1), "\\", -1))

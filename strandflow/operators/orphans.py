@@ -62,9 +62,10 @@ def _with_kind(joined: DataFrame) -> DataFrame:
 
 def check_references(refs: DataFrame, states: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """Orphans among ``refs`` (ref_field, ref_key, at, ...) with their ``kind``, by the skew-aware split."""
-    total = refs.count()
-    least = max(1000, int(total * heavy_share))
-    heavy = refs.groupBy("ref_field", "ref_key").count().where(F.col("count") >= least).select("ref_field", "ref_key")
+    per_period = refs.groupBy("ref_field", "ref_key", F.trunc("at", "month").alias("month")).count()
+    per_key = per_period.groupBy("ref_field", "ref_key").agg(F.sum("count").alias("n"))
+    least = max(1000, int(refs.count() * heavy_share))
+    heavy = per_key.where(F.col("n") >= least).select("ref_field", "ref_key")
     heavy = F.broadcast(heavy)  # at most 1 / heavy_share rows
     keys = ["ref_field", "ref_key"]
     heavy_states = F.broadcast(states.join(heavy, keys, "left_semi"))
@@ -79,9 +80,8 @@ def _period(c: str) -> Column:
 
 def find_orphans(refs: DataFrame, states: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """One row per orphan record, field, period and kind."""
-    once = refs.groupBy(*refs.columns).agg(F.count("*").alias("n_rows"))
     return (
-        check_references(once, states, heavy_share)
+        check_references(refs, states, heavy_share)
         .select("ref_table", "ref_field", "record_key", _period("at").alias("period"), "kind")
         .distinct()
     )
