@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions.session import table
-from strandflow.llm import components, overlap
+from strandflow.llm import canonical, components, overlap
 
 MIN_SHARE = 0.1
 MIN_ANI = 0.95
@@ -20,6 +20,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_overlaps(spark, d).select("sketch_path_a", "sketch_path_b").distinct()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.map_values(table(spark, d, "genome_manifest"), table(spark, d, "taxa"), "taxonomy", ["accession"])
+
+
+def p2_unmatched_values(spark: SparkSession, d: str) -> DataFrame:
+    """The typed values that mean no entry, with the accessions that carry each."""
+    typed = table(spark, d, "genome_manifest").withColumn("typed", F.col("taxonomy"))
+    mapped = canonical.map_values(typed, table(spark, d, "taxa"), "taxonomy", ["accession", "typed"])
+    return mapped.where(F.col("taxid") == canonical.UNMATCHED).groupBy("typed").agg(F.count("*").alias("n_accessions"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.pair_groups(table(spark, d, "pairwise"), "query_name", "match_name", "average_containment_ani", MIN_ANI)
 
@@ -30,7 +41,7 @@ def p6_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p6_found, p6_cluster_sizes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
