@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions.session import table
-from strandflow.llm import canonical, components, overlap
+from strandflow.llm import canonical, components, overlap, tokens
 
 MIN_SHARE = 0.1
 MIN_ANI = 0.95
@@ -41,7 +41,11 @@ def p6_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes, p7_ids)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
