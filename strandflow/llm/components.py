@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.session import materialise
+from strandflow.functions.text import SPACES, strip_space
 
 EDGES_AT_ONCE = 1_000_000
 MAX_LEVELS = 60
@@ -99,7 +100,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def first_word(c: Column) -> Column:
     """The first word of a name, null where it has none."""
-    return F.nullif(F.regexp_extract(c, r"([^\s\x{00A0}\x{FEFF}\x{200B}]+)", 1), F.lit(""))
+    plain = F.translate(strip_space(c), SPACES, " " * len(SPACES))
+    return F.nullif(F.substring_index(plain, " ", 1), F.lit(""))
 
 
 def share(c: Column) -> Column:
