@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.session import table
-from strandflow.llm import canonical, components, overlap, tokens
+from strandflow.llm import canonical, components, overlap, packing, tokens
 
 MIN_SHARE = 0.1
 MIN_ANI = 0.95
@@ -45,7 +45,24 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes, p7_ids)}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.sized(table(spark, d, "documents"), "doc_id", "text", "source"), "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, their room and what is unused of it."""
+    held = p8_pack(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    total = held.agg(F.count("*").alias("n_containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+    return total.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * packing.CAPACITY))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of each source per window, beside the source's share of the window."""
+    mixed = p8_pack(spark, d).groupBy((F.shiftright("container_id", 36)).alias("bucket"), "window_no", "source").agg(F.sum("n_tokens").alias("n_tokens"))
+    return mixed.withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("bucket", "window_no")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
