@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.session import table
-from strandflow.llm import canonical, components, overlap, packing, tokens
+from strandflow.llm import canonical, components, overlap, packing, subjects, tokens
 
 MIN_SHARE = 0.1
 MIN_ANI = 0.95
@@ -62,7 +62,16 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixed.withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("bucket", "window_no")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject; a document of two subjects counts for both."""
+    return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture, p9_found, p9_composition)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
