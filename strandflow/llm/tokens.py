@@ -24,6 +24,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def _class(starts: str) -> str:
 
 
 _ASCII_SPACE = r"\t\n\x0b\x0c\r "
-_SPACE = _ASCII_SPACE + r"\x85\xa0  -     　"
+_SPACE = _ASCII_SPACE + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _pattern(letters: str, digits: str, space: str) -> re.Pattern:
@@ -234,7 +235,7 @@ def encoder(path: str) -> Encoder:
 
 def _slices(column: pa.Array):
     """Runs of a text column of about ``CHARS_AT_ONCE`` bytes, a text never split."""
-    sizes = np.diff(column.offsets.to_numpy()).cumsum()
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
     begin = 0
     while begin < len(column):
         base = sizes[begin - 1] if begin else 0
