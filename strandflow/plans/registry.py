@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from strandflow.plans import data_problems
+from strandflow.plans import data_problems, sequence_queries
 
-_MODULES = (data_problems,)
-ENTRY = data_problems.p3_found
+_MODULES = (data_problems, sequence_queries)
+ENTRY = sequence_queries.kmer_overview
 
 
 def queries() -> dict:
