@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from strandflow.functions.text import blank
 
 #: At most so many labelled documents are used for the fit, the first by a hash of their id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 MAX_TERMS = 60_000
 BEAM = 6
 #: A label whose probability is this far off counts as an error of the labelling.
@@ -350,17 +350,25 @@ def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: in
     """Fit on at most ``most`` labelled documents; None without any."""
     names = sorted({r[0] for r in subjects.where("subject is not null").select("subject").distinct().collect()})
     at = {s: i for i, s in enumerate(names)}
-    wanted = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
-    rows = (
-        documents.where(~blank(F.col("text"))).select("doc_id", "text", "path", "lang")
-        .join(wanted, "doc_id")
+    wanted = (
+        labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.array_sort(F.collect_set("subject")).alias("subjects"))  # at most one entry per subject
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
+    )
+    rows = (
+        documents.where(~blank(F.col("text"))).select("doc_id", "text", "path", "lang")
+        .join(F.broadcast(wanted), "doc_id")
         .mapInArrow(_count_runs, "doc_id bigint, subjects array<string>, runs array<string>, counts array<int>, form array<double>")
-        .collect()
+        .toLocalIterator()
     )
-    rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
-    docs = [(Counter(dict(zip(r["runs"], r["counts"]))), [at[s] for s in r["subjects"]], list(r["form"])) for r in rows]
+    one: dict[str, str] = {}
+    docs = []
+    for r in rows:
+        counted = Counter({one.setdefault(w, w): n for w, n in zip(r["runs"], r["counts"])})
+        docs.append((r["doc_id"], (counted, [at[s] for s in r["subjects"]], list(r["form"]))))
+    docs = [d for _, d in sorted(docs, key=lambda d: (d[0] * 2654435761 % 2**32, d[0]))]
     return Model(names).fit(docs) if docs and names else None
 
 
