@@ -110,6 +110,8 @@ class Resolver:
             if len(key) > 1:
                 for rest in key[1:]:
                     self.by_initial[key[0][0], rest].add(key)
+        self.longest = max(map(len, self.by_word), default=0)
+        self.lengths = set(map(len, self.ids))
         self.near: dict[str, list[str]] = defaultdict(list)
         for w in self.by_word:
             for d in _deletions(w, WORD_ERRORS):
@@ -146,14 +148,17 @@ class Resolver:
                 for n in range(1, longest + 1):
                     if tuple(parts[i : i + n]) in self.ids and i + n <= len(parts):
                         found.append((i, i + n, tuple(parts[i : i + n])))
-        taken: list[tuple[int, int, tuple]] = []
+        taken, used = [], set()
         for m in sorted(found, key=lambda m: (m[0] - m[1], m[0])):
-            if all(m[1] <= t[0] or m[0] >= t[1] for t in taken):
+            if used.isdisjoint(range(m[0], m[1])):
                 taken.append(m)
+                used.update(range(m[0], m[1]))
         return sorted(taken)
 
     def close_words(self, word: str) -> dict[str, int]:
         """Known words within the allowed errors; the shorter the word, the fewer."""
+        if len(word) > self.longest + WORD_ERRORS:
+            return {}
         most = 0 if len(word) < 4 else 1 if len(word) < 6 else WORD_ERRORS
         seen: dict[str, int] = {}
         for d in _deletions(word, most):
@@ -166,6 +171,8 @@ class Resolver:
         """Id of the name whose set of words is closest to ``parts``, if it is close enough and no other is as close."""
         if len(parts) < 2:
             return self._only({(k,): n for w in parts for k, n in self.close_words(w).items() if (k,) in self.ids})
+        if len(parts) not in self.lengths:
+            return None
         scores: dict[tuple, int] = {}
         near = [self.close_words(w) for w in parts]
         for i, options in enumerate(near):
