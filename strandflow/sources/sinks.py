@@ -45,7 +45,7 @@ def save_plan(df: DataFrame, path: str, about: dict) -> None:
 
 def with_file_paths(df: DataFrame, archive: str, sample: str, root: str) -> DataFrame:
     """``fa`` and ``gff`` paths derived from archive and sample names."""
-    folder = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(F.col(archive), r"\.tar\.xz$", ""), F.lit("/"))
+    folder = F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(F.col(archive), r"\.tar\.xz\z", ""), F.lit("/"))
     return df.withColumn("fa", F.concat(folder, sample, F.lit(".fa.gz"))).withColumn("gff", F.concat(folder, sample, F.lit(".gff3.gz")))
 
 
