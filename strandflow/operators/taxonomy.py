@@ -19,9 +19,9 @@ def resolve(values: DataFrame, taxa: DataFrame, value: str) -> DataFrame:
     """
     options = F.concat(F.array(F.trim(value)), names.taxon_candidates(F.col(value)), F.transform(names.taxon_candidates(F.col(value)), lambda x: F.regexp_replace(x, "^[a-z]__", "")))
     asked = values.select(value).where(F.col(value).isNotNull()).distinct()
-    listed = taxa.select(F.col("tax_name").alias("name"), "taxid").unionByName(taxa.select(F.col("taxid").alias("name"), "taxid"))
-    tried = asked.select(value, F.posexplode(options).alias("i", "name")).join(broadcast_if_small(listed, BROADCAST_TAXA), "name")
-    found = tried.groupBy(value).agg(F.min_by("taxid", "i").alias("taxid"))
+    listed = taxa.select(F.col("tax_name").alias("_name"), "taxid").unionByName(taxa.select(F.col("taxid").alias("_name"), "taxid"))
+    tried = asked.select(value, F.posexplode(options).alias("_i", "_name")).join(broadcast_if_small(listed, BROADCAST_TAXA), "_name")
+    found = tried.groupBy(value).agg(F.min_by("taxid", "_i").alias("taxid"))
     return values.join(found, value, "left")
 
 

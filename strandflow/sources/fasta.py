@@ -24,8 +24,8 @@ def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def split_gff_fasta(texts: DataFrame, text: str = "value") -> DataFrame:
     """(file, seq_id, seq) of the FASTA section of whole GFF texts (file, value)."""
-    part = F.element_at(F.split(F.col(text), r"(?m)^##FASTA[ \t\r]*\n", 2), 2)
-    records = texts.where(F.col(text).rlike(r"(?m)^##FASTA")).select("file", F.explode(F.split(part, r"(?m)^>")).alias("_r"))
+    part = F.get(F.split(F.col(text), r"(?m)^##FASTA[ \t\r]*\n", 2), F.lit(1))
+    records = texts.select("file", F.explode(F.split(part, r"(?m)^>")).alias("_r"))
     seq_id, seq = _record(F.col("_r"))
     return records.select("file", seq_id.alias("seq_id"), F.upper(seq).alias("seq")).where(F.length("seq") > 0)
 

@@ -35,7 +35,7 @@ def parse_line(line: Column, strict: bool = True) -> Column:
 
 def whole_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, value): one row per file. An annotated genome is some megabytes; its two sections need each other."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def features(texts: DataFrame, strict: bool = True) -> DataFrame:
