@@ -23,3 +23,13 @@ def number_rows(df: DataFrame, order: list[Column], name: str, start: int = 0, l
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = sizes.withColumn("_b", before).drop("_n")
     return placed.join(F.broadcast(shifts), "_p").withColumn(name, F.col("_r") + F.col("_b") + F.lit(start)).drop("_p", "_r", "_m", "_b")
+
+
+def locate(points: DataFrame, chunks: DataFrame, point: str, bucket: int = 4096) -> DataFrame:
+    """``points`` with ``chunk_no``: the chunk (chunk_no, start, count) whose [start, start + count) holds the point, else -1."""
+    from strandflow.operators.annotations import overlap_join
+
+    one = points.select(F.col(point).alias("begin"), (F.col(point) + 1).alias("end")).distinct().withColumn("_all", F.lit(0))
+    spans = chunks.select("chunk_no", F.col("start").alias("r_begin"), (F.col("start") + F.col("count")).alias("r_end")).withColumn("_all", F.lit(0))
+    met = overlap_join(one, spans, ["_all"], bucket).select(F.col("begin").alias(point), "chunk_no")
+    return points.join(met, point, "left").withColumn("chunk_no", F.coalesce("chunk_no", F.lit(-1)))

@@ -9,6 +9,7 @@ from strandflow.functions import names
 from strandflow.functions.session import table
 from strandflow.operators import annotations as A
 from strandflow.operators import catalog, cluster, manifest, metrics, nested, sketch, taxonomy
+from strandflow.operators.order import locate
 from strandflow.plans.sequence_queries import _S, sequences
 from strandflow.sources import manifests
 
@@ -378,8 +379,15 @@ def cache_size(spark, d):
     return metrics.total_size(table(spark, d, "documents").select(F.col("size_bytes").alias("size")))
 
 
+def chunk_lookup(spark, d):
+    """Orders placed in id ranges of uneven sizes: one range per supplier that has a positive balance."""
+    s = F.col("s_suppkey")
+    chunks = table(spark, d, "supplier").where("s_acctbal > 0").select(s.alias("chunk_no"), (s * 100).alias("start"), (s % 90).alias("count"))
+    return locate(table(spark, d, "orders").select("o_orderkey"), chunks, "o_orderkey")
+
+
 _FUNCTIONS = (
-    catalog_count, catalog_count_annotated, catalog_count_by, catalog_top_species, catalog_head, catalog_plan, catalog_plan_batches, catalog_paths, star_join,
+    chunk_lookup, catalog_count, catalog_count_annotated, catalog_count_by, catalog_top_species, catalog_head, catalog_plan, catalog_plan_batches, catalog_paths, star_join,
     batch_group, manifest_last_rows, manifest_paths, manifest_reserve, manifest_counts, pending_anti, accession_subset, sample_rows, cache_prune,
     upsert_taxonomy, insert_missing, lineage_ancestor, lineage_paths, taxon_resolve, taxon_groups, taxon_candidates, read_ids, fastq_names, dbxref_parse,
     gff_attributes, json_props, set_digests, sketch_frac, sketch_sizes, sketch_downsample, pairwise_containment, pairwise_within, screen_top, screen_results,
@@ -435,6 +443,7 @@ x AS (SELECT file_name AS seed_name, unnest(string_split(refs, ',')) AS r FROM b
 ann AS (SELECT DISTINCT seed_name, split_part(r, ':', 1) AS database, trim(substr(r, instr(r, ':') + 1)) AS label FROM x WHERE instr(r, ':') > 1)"""
 
 SQL = {
+    "chunk_lookup": """SELECT o_orderkey, coalesce(s_suppkey, -1) AS chunk_no FROM orders LEFT JOIN supplier ON s_acctbal > 0 AND o_orderkey >= s_suppkey * 100 AND o_orderkey < s_suppkey * 100 + s_suppkey % 90""",
     "catalog_count": f"SELECT count(*) AS n FROM assembly WHERE {_GOOD}",
     "catalog_count_annotated": f"SELECT count(*) AS n FROM assembly a JOIN bakta b ON a.sample_accession = b.sample WHERE {_GOOD} AND status = 'PASS'",
     "catalog_count_by": "SELECT sylph_species, count(*) AS n FROM assembly WHERE asm_fasta_on_osf = '1' GROUP BY 1",
