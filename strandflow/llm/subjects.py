@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.functions.session import materialise
 from strandflow.functions.text import blank
 
 #: At most so many labelled documents are used for the fit, the first by a hash of their id.
@@ -357,12 +358,13 @@ def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: in
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    rows = (
+    counted = (
         documents.where(~blank(F.col("text"))).select("doc_id", "text", "path", "lang")
         .join(F.broadcast(wanted), "doc_id")
         .mapInArrow(_count_runs, "doc_id bigint, subjects array<string>, runs array<string>, counts array<int>, form array<double>")
-        .toLocalIterator()
     )
+    # at most ``most`` rows, read in a few parts so that the driver never holds them twice
+    rows = materialise(counted, "subjects-labelled").coalesce(8).toLocalIterator()
     one: dict[str, str] = {}
     docs = []
     for r in rows:
