@@ -70,14 +70,14 @@ def coloured_edges(fragments: DataFrame, tokens: DataFrame, k: int) -> DataFrame
 
 def gff_graph(features: DataFrame, contigs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(edge table with colours, colour dictionary) of annotated contigs: features (seqid, begin, end, strand, seed), contigs (seqid, seq)."""
-    from strandflow.operators.graph import colour_ids, prune_ends
+    from strandflow.operators.graph import colour_ids, settle
 
     colours = colour_ids(features.where("seed is not null"), "seed")
     named = features.join(colours, "seed")
     frags = fragments_of(contigs, k)
     tokens = clip(frags, flip(named, contigs.select("seqid", F.length("seq").alias("length"))), k + 1)
     rows = coloured_edges(frags, tokens, k).select("node", "sym", "colour").distinct()
-    return prune_ends(rows.groupBy("node", "sym").agg(F.array_sort(F.collect_set("colour")).alias("colours"))), colours
+    return settle(rows, k), colours
 
 
 # --- index ---------------------------------------------------------------------------------------------------------

@@ -14,22 +14,40 @@ from strandflow.operators.order import number_rows
 SYMBOLS = "$ACGT"
 
 
-def build(seqs: DataFrame, k: int, mode: str = "plain", seq: str = "seq", colour: str = "colour") -> DataFrame:
+def build(seqs: DataFrame, k: int, mode: str = "plain", seq: str = "seq", colour: str = "colour", flags: bool = False) -> DataFrame:
     """Edge table of all fragments of ``seqs`` on both strands.
 
     mode 'plain': (node, sym); 'weighted': and n; 'coloured': and colours, a sorted ARRAY (0: padded or ``$``).
+    ``flags`` adds ``first`` and ``last`` as :func:`with_flags` does.
+
+    Two shuffles: occurrences are combined map-side and meet by edge, then by the symbols that all nodes of a block share;
+    colour sets, ``$`` edges and flags are settled there without another one.
     """
     keep = [seq, colour] if mode == "coloured" else [seq]
     rows = K.edges(K.strands(K.fragments(seqs.select(*keep), k, seq), seq), k, seq)
     if mode == "coloured":
         padded = F.col("node").contains("$") | (F.col("sym") == "$")
         rows = rows.select("node", "sym", F.when(padded, F.lit(0)).otherwise(F.col(colour)).cast("bigint").alias("colour"))
-        found = rows.distinct().groupBy("node", "sym").agg(F.array_sort(F.collect_set("colour")).alias("colours"))
+        met = rows.distinct()
     elif mode == "weighted":
-        found = rows.groupBy("node", "sym").agg(F.count("*").alias("n"))
+        met = rows.groupBy("node", "sym").agg(F.count("*").alias("n"))
     else:
-        found = rows.select("node", "sym").distinct()
-    return prune_ends(found)
+        met = rows.select("node", "sym").distinct()
+    return settle(met, k, flags)
+
+
+def settle(edges: DataFrame, k: int, flags: bool = False) -> DataFrame:
+    """Colour rows (node, sym, colour) to sets, ``$`` edges pruned and flags added within blocks of nodes."""
+    blocks = edges.withColumn("_block", F.substring("node", 2, k - 1)).repartition("_block")
+    if "colour" in edges.columns:
+        blocks = blocks.groupBy("_block", "node", "sym").agg(F.array_sort(F.collect_set("colour")).alias("colours"))
+    real = F.max(F.col("sym") != "$").over(Window.partitionBy("_block", "node"))
+    out = blocks.withColumn("_real", real).where((F.col("sym") != "$") | ~F.col("_real")).drop("_real")
+    if flags:
+        first = Window.partitionBy("_block", "sym").orderBy(F.reverse("node"))
+        last = Window.partitionBy("_block", "node").orderBy(F.desc("sym"))
+        out = out.withColumn("first", (F.row_number().over(first) == 1).cast("int")).withColumn("last", (F.row_number().over(last) == 1).cast("int"))
+    return out.drop("_block")
 
 
 def prune_ends(edges: DataFrame) -> DataFrame:

@@ -111,7 +111,38 @@ WITH refs AS (
 )
 """
 
+def _list(x: str) -> str:
+    """A JSON value as a list: null and absent empty, a lone value as one."""
+    x = f"({x})"
+    return f"CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN [] WHEN json_type({x}) = 'ARRAY' THEN from_json({x}, '[\"JSON\"]') ELSE [{x}] END"
+
+
+def _items(name: str, source: str, keys: str, x: str) -> str:
+    """Elements of a list with their positions; null elements left out."""
+    return f"""{name}_ AS (SELECT {keys}, {_list(x)} AS l FROM {source}),
+{name}__ AS (SELECT * EXCLUDE (l), unnest(l) AS e, unnest(range(len(l))) AS n FROM {name}_), {name} AS (SELECT * FROM {name}__ WHERE e IS NOT NULL AND json_type(e) <> 'NULL')"""
+
+
+_UNWRAP = """CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END
+  WHEN json_type(j) = 'ARRAY' AND json_array_length(j) = 1 THEN j -> 0 ELSE j END"""
+_REPORTS = ", ".join(f"v{i + 1} AS (SELECT report_id, {_UNWRAP} AS j FROM v{i})" for i in range(5))
+_ELEMENTS = f"""
+WITH v0 AS (SELECT report_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM bakta_json),
+{_REPORTS}, r AS (SELECT report_id, j FROM v5 WHERE json_type(j) = 'OBJECT'),
+{_items("s", "r", "report_id", "j -> 'sequences'")},
+ids AS (SELECT report_id, e ->> 'id' AS id, min(n) AS n FROM s WHERE json_type(e) = 'OBJECT' GROUP BY 1, 2),
+{_items("f0", "r", "report_id", "j -> 'features'")},
+f AS (SELECT f0.report_id, f0.e, f0.n AS fn, coalesce(ids.n, -1) AS sn FROM f0 LEFT JOIN ids ON ids.report_id = f0.report_id AND ids.id = coalesce(f0.e ->> 'sequence', f0.e ->> 'contig')),
+{_items("x", "f", "report_id, fn, sn", "e -> 'db_xrefs'")},
+{_items("p", "f", "report_id, fn, sn", "e -> 'pfams'")},
+{_items("y", "(SELECT report_id, fn, sn, n AS pn, e FROM p)", "report_id, fn, sn, pn", "e -> 'db_xrefs'")}
+SELECT DISTINCT report_id, child, CAST(a AS INT) AS sequence_no, CAST(b AS INT) AS feature_no, CAST(c AS INT) AS item_no, CAST(d AS INT) AS sub_no FROM (
+  SELECT report_id, 'sequences' AS child, n AS a, -1 AS b, -1 AS c, -1 AS d FROM s
+  UNION ALL SELECT report_id, 'features', sn, fn, -1, -1 FROM f UNION ALL SELECT report_id, 'db_xrefs', sn, fn, n, -1 FROM x
+  UNION ALL SELECT report_id, 'pfams', sn, fn, n, -1 FROM p UNION ALL SELECT report_id, 'pfam_db_xrefs', sn, fn, pn, n FROM y)"""
+
 SQL = {
+    "p5_found": _ELEMENTS,
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_field, record_key, period, kind FROM orphans",
     "p3_orphan_counts": _ORPHANS
     + "SELECT ref_table, ref_field, period, kind, CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT k) AS n_keys FROM orphans GROUP BY ALL",

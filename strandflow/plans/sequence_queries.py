@@ -33,12 +33,12 @@ def _by_source():
     return Window.orderBy("source")  # a handful of sources
 
 
-def _graph(spark, d, mode):
-    return G.build(sequences(spark, d), NODE, mode)
+def _graph(spark, d, mode, flags=False):
+    return G.build(sequences(spark, d), NODE, mode, flags=flags)
 
 
 def _numbered(spark, d, mode="plain"):
-    return G.with_ids(G.with_flags(_graph(spark, d, mode), NODE))
+    return G.with_ids(_graph(spark, d, mode, flags=True))
 
 
 def revcomp(spark, d):
@@ -121,7 +121,7 @@ def ntile_chunks(spark, d):
 
 
 def dbg_edges(spark, d):
-    return G.with_flags(_graph(spark, d, "plain"), NODE)
+    return _graph(spark, d, "plain", flags=True)
 
 
 def dbg_edge_ids(spark, d):

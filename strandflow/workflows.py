@@ -60,7 +60,7 @@ def construct_weighted(spark: SparkSession, forward: str, reverse: str | None, k
     """Weighted graph of the fragments of single or paired FASTQ files, stored with ids below ``out``."""
     reads = fastq.paired(spark, forward, reverse) if reverse else fastq.unpaired(spark, forward)
     seqs = reads.select(F.explode("fragments.seq").alias("seq"))
-    _store(graph.with_ids(graph.with_flags(graph.build(seqs, k, "weighted"), k)), f"{out}/edges")
+    _store(graph.with_ids(graph.build(seqs, k, "weighted", flags=True)), f"{out}/edges")
     return spark.read.parquet(f"{out}/edges")
 
 
