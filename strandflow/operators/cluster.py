@@ -92,9 +92,11 @@ def size_stats(clusters: DataFrame, tag: str = "tag") -> DataFrame:
     )
 
 
-def members(clusters: DataFrame, by: list[str]) -> DataFrame:
-    """Sorted members per cluster as one text, with their number."""
-    return clusters.groupBy(*by).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("accession")), ",").alias("members"))
+def members(clusters: DataFrame, by: list[str], page: int = 10_000) -> DataFrame:
+    """Sorted members per cluster as text, in pages of about ``page`` members, so that no list grows with its cluster."""
+    sizes = clusters.groupBy(*by).agg(F.count("*").alias("n"))
+    paged = clusters.join(sizes, by).withColumn("page", F.pmod(F.xxhash64("accession"), F.ceil(F.col("n") / page)).cast("int"))
+    return paged.groupBy(*by, "n", "page").agg(F.array_join(F.array_sort(F.collect_list("accession")), ",").alias("members"))
 
 
 def digests(clusters: DataFrame, by: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions import dna
-from strandflow.functions.session import table
+from strandflow.functions.session import broadcast_if_small, table
 from strandflow.operators import classify as C
 from strandflow.operators import graph as G
 from strandflow.operators import kmers as K
@@ -20,7 +20,7 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
     seq = F.translate(F.concat(F.md5("text"), F.md5(F.concat("text", F.lit("x")))), HEX, "ACGT" * 4)
     rows = docs.select("doc_id", "source", "lang", seq.alias("seq"))
-    return rows.join(F.broadcast(_colours(docs)), "source")
+    return rows.join(broadcast_if_small(_colours(docs), 100_000), "source")
 
 
 def _colours(docs: DataFrame) -> DataFrame:
@@ -67,6 +67,10 @@ def kmer_count_both_strands(spark, d):
     return K.count_kmers(sequences(spark, d), KMER)
 
 
+def kmer_count_packed(spark, d):
+    return K.count_kmers_packed(sequences(spark, d), 2 * KMER)
+
+
 def kmer_count_canonical(spark, d):
     return K.count_kmers(sequences(spark, d), KMER, canonical=True)
 
@@ -215,7 +219,7 @@ def accumulate_depths(spark, d):
 
 
 _FUNCTIONS = (
-    revcomp, dna_ranks, bit_widths, split_non_acgt, kmer_count_both_strands, kmer_count_canonical, kmer_colour_sets, kmer_overview, suffix_histogram,
+    revcomp, dna_ranks, bit_widths, split_non_acgt, kmer_count_both_strands, kmer_count_packed, kmer_count_canonical, kmer_colour_sets, kmer_overview, suffix_histogram,
     suffix_plan_cumulative, terminals, terminals_dense, size_statistics, median_length, chunks_with_overlap, ntile_chunks, dbg_edges, dbg_edge_ids,
     dbg_counts, dbg_colours, meta_colours, colour_occurrence, dbg_f_c, dbg_size, dbg_fwd, dbg_bwd, dbg_outgoing, dbg_node_ranges, dbg_labels, dbg_rank,
     dbg_difference_class, dbg_coverage, dbg_merge_order, classify_left_join, accumulate, accumulate_depths,
@@ -267,6 +271,7 @@ SELECT doc_id, ranks, '0' || translate(ranks, '0123', '1234') AS ranks5,
     "split_non_acgt": """WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(upper(text), '[^ACGT]+'), lambda x: length(x) >= 3) AS parts FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, len(parts) AS n_fragments, array_to_string(parts, ',') AS fragments FROM p""",
     "kmer_count_both_strands": f"WITH {_S}, {_BOTH}, {_KM.format('both_')} SELECT kmer, count(*) AS n FROM km GROUP BY 1",
+    "kmer_count_packed": f"WITH {_S}, {_BOTH}, {_KM.format('both_').replace(str(KMER), str(2 * KMER))} SELECT kmer, count(*) AS n FROM km GROUP BY 1",
     "kmer_count_canonical": f"WITH {_S}, {_KM.format('s')} SELECT least(kmer, {_RC.format('kmer')}) AS kmer, count(*) AS n FROM km GROUP BY 1",
     "kmer_colour_sets": f"WITH {_S}, {_BOTH}, {_KM.format('both_')} SELECT kmer, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM km GROUP BY 1",
     "kmer_overview": f"WITH {_S}, {_BOTH}, {_KM.format('both_')} SELECT kmer, count(*) AS n, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources FROM km GROUP BY 1",
