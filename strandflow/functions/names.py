@@ -10,11 +10,13 @@ FASTA_EXTENSIONS = ("fna", "fa", "fasta")
 GFF_EXTENSIONS = ("gff3", "gff")
 FASTQ_EXTENSIONS = ("fq", "fastq")
 
+#: FASTQ file names (fixed value): sample, lane, orientation, fragment, suffix.
 FASTQ_NAME = r"^(.+?)(?:[_.-](L\d\d\d))?[_.-](R?[12])?(?:[_.-](\d\d\d))?(\.(?:f(?:ast)?q)(?:\.gz)?)$"
 
-#: Prefixes tried in this order for a name of one word.
+#: Prefixes tried in this order for a name of one word (fixed values).
 RANK_PREFIXES = ("g", "f", "o", "c", "p", "d")
 
+#: Ranks from the lowest (fixed values).
 RANKS = ("species", "genus", "family", "order", "class", "phylum", "superkingdom")
 
 

@@ -55,7 +55,11 @@ def test_navigation(spark):
 
 
 def test_repeated_record_has_one_colour(spark):
-    s = "ACGTTGCAAGCTTAGGCATCGATCGGATTACAGGCTTAACCGGTATCGATTGCCAATGCA"
+    s = "GTGTCGGAGGCTCCATCGACATGGAACGAGCGGTGGCAAGAAGTTACTAATGAGCTGCTG"
+    e = G.build(spark.createDataFrame([(s, 1), (s, 1)], "seq string, colour long"), 9, "coloured")
+    o = {r.sym: (r.f, r.c) for r in G.offsets(e).collect()}
+    assert e.count() == 122 and [o[x] for x in "$ACGT"] == [(0, 0), (2, 1), (29, 28), (62, 61), (95, 94)]
+    assert {tuple(r.colours) for r in e.select("colours").distinct().collect()} == {(0,), (1,)}
     once = G.build(seqs(spark, s), 9)
     twice = G.build(spark.createDataFrame([(s, 1), (s, 1)], "seq string, colour long"), 9)
     assert once.exceptAll(twice).count() == twice.exceptAll(once).count() == 0
