@@ -95,12 +95,13 @@ def pack_bucket(sizes, sources, carries, shares, capacity: int, first_id: int):
     queues: dict = {}
     carry: dict = {}
     for i, (n, s, c) in enumerate(zip(sizes, sources, carries)):
-        rest = n % capacity if n > capacity else n
-        queues.setdefault(s, deque()).append((rest, i))
+        queues.setdefault(s, deque()).append((n, i))
         carry[s] = c
     packer, out = Packer(capacity, first_id), []
     for window, items in enumerate(drr_windows(queues, shares, carry, capacity * CONTAINERS_PER_WINDOW, capacity)):
-        for rest, i in sorted(items, key=lambda x: (-x[0], x[1])):
+        # what is left of a cut document is packed like any other; by falling size, ties in order
+        rests = [(n % capacity if n > capacity else n, i) for n, i in items]
+        for rest, i in sorted(rests, key=lambda x: (-x[0], x[1])):
             n = sizes[i]
             full = n // capacity if n > capacity else 0
             for p in range(full):
@@ -124,8 +125,7 @@ def pack(
     """(key, piece_no, container_id, window_no, source, doc_begin, container_begin, n_tokens); ``sizes`` from :func:`sized`."""
     buckets = max(1, -(-sizes.count() // items_per_bucket))
     items = sizes.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
-    rest = F.when(F.col("n_tokens") > capacity, F.col("n_tokens") % capacity).otherwise(F.col("n_tokens"))
-    totals = materialise(items.groupBy("bucket", "source").agg(F.sum(rest).alias("t")), "packing-totals")  # buckets x sources
+    totals = materialise(items.groupBy("bucket", "source").agg(F.sum("n_tokens").alias("t")), "packing-totals")  # buckets x sources
     whole = totals.agg(F.sum("t")).first()[0] or 0
     if targets is None:
         shares = totals.groupBy("source").agg((F.sum("t") / max(whole, 1)).alias("share"))
