@@ -11,6 +11,10 @@ Candidates lose no pair: if two sets share at least the share ``t`` of the small
 n - ceil(t * n) + 1 identifiers. Only those look for partners, so an identifier that a third of all sets hold brings no
 pairs by itself unless a set has hardly any other.
 
+Copies (sets of equal identifiers and parameters) are found by a 128-bit digest of their runs before any pair is formed;
+one of them stands for all, and pairs are expanded to the members at the end, so a group of copies costs what it brings
+to the result and no more.
+
 Sets of different ``scaled`` are compared at the coarser one: a common identifier is below both bounds anyway, so only
 the sizes depend on it; they are counted per level of ``scaled``.
 
@@ -35,7 +39,7 @@ BROADCAST_SETS = 500_000
 _PAIRS_AT_ONCE = 1_000_000
 
 _CELL_SCHEMA = "kind tinyint, a bigint, b bigint, cell int, n bigint, deltas array<bigint>"
-_SIZE, _RUN, _PAIR = 0, 1, 2
+_SIZE, _RUN = 0, 1
 
 
 def sketch_sets(sketches: DataFrame) -> DataFrame:
@@ -57,8 +61,8 @@ def _as_unsigned(h):
     return F.when(h < 0, h.cast("decimal(38,0)") + F.lit("18446744073709551616").cast("decimal(38,0)")).otherwise(h.cast("decimal(38,0)"))
 
 
-def _cells(members: DataFrame, share: float, ranges: int) -> DataFrame:
-    """Sizes, runs and candidate pairs of each identifier range; members: (set_id, grp, level, hash_value)."""
+def _cells(members: DataFrame, ranges: int) -> DataFrame:
+    """Sizes and runs of each identifier range; members: (set_id, grp, level, hash_value)."""
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -72,14 +76,14 @@ def _cells(members: DataFrame, share: float, ranges: int) -> DataFrame:
         cell = TaskContext.get().partitionId()
         for g in np.unique(grp):
             at = np.flatnonzero(grp == g)
-            yield from _group_cells(sid[at], level[at], h[at], cell, share)
+            yield from _group_cells(sid[at], level[at], h[at], cell, int(g))
 
     # The sort key is the unsigned order of the hash, so ranges follow it.
     order = F.col("hash_value").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))
     return members.repartitionByRange(ranges, order).mapInArrow(run, _CELL_SCHEMA)
 
 
-def _group_cells(sid, level, h, cell, share):
+def _group_cells(sid, level, h, cell, grp):
     ids, s = np.unique(sid, return_inverse=True)
     order = np.argsort(h, kind="stable")
     h, s, level = h[order], s[order], level[order]
@@ -110,10 +114,8 @@ def _group_cells(sid, level, h, cell, share):
     shared = df_of[group] > 1
     if not shared.any():
         return
-    hs, ss, cs, gs = h[shared], s[shared], cell_of[shared], group[shared]
-    df = df_of[gs]
-
     # runs: identifiers ascending within each set, as differences
+    hs, ss = h[shared], s[shared]
     by_set = np.lexsort((hs, ss))
     rs, rh = ss[by_set], hs[by_set]
     deltas = rh.copy()
@@ -121,39 +123,82 @@ def _group_cells(sid, level, h, cell, share):
     starts = np.flatnonzero(np.r_[True, rs[1:] != rs[:-1]])
     deltas[starts] = rh[starts]
     ends = np.r_[starts[1:], len(rs)]
-    yield _out(_RUN, ids[rs[starts]], None, cell, ends - starts, (np.r_[0, ends], deltas.view(np.int64)))
-
-    # the rarest identifiers of each cell look for partners
+    yield _out(_RUN, ids[rs[starts]], np.full(len(starts), grp), cell, ends - starts, (np.r_[0, ends], deltas.view(np.int64)))
+
+
+def _pairs_of_cell(limits: list[int], share: float):
+    """Candidate pairs of one range's sizes and runs; ``limits``: ascending bounds of the levels."""
+    bounds = np.array(limits[:-1], np.uint64)
+    n_levels = len(limits)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        kind, a, b, n = (table.column(i).to_numpy() for i in ("kind", "a", "b", "n"))
+        is_run = kind == _RUN
+        ids, owner = np.unique(a[is_run], return_inverse=True)
+        grp = b[is_run]
+        lists = table.filter(pa.array(is_run)).column("deltas").combine_chunks()
+        off = lists.offsets.to_numpy().astype(np.int64)
+        h = decode_runs(off - off[0], lists.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64))
+        length = np.diff(off)
+        s, g = np.repeat(owner, length), np.repeat(grp, length)
+        sizes = np.zeros(len(ids) * n_levels, np.int64)
+        at = np.searchsorted(ids, a[~is_run])
+        known = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == a[~is_run]) if len(ids) else np.zeros(0, bool)
+        np.add.at(sizes, at[known] * n_levels + b[~is_run][known].astype(np.int64), n[~is_run][known])
+        found = [_seek(h[m], s[m], np.searchsorted(bounds, h[m], "right"), sizes, n_levels, len(ids), share) for m in (g == x for x in np.unique(grp))]
+        code = np.concatenate(found) if found else np.empty(0, np.int64)
+        return pa.table({"a": pa.array(ids[code // max(len(ids), 1)], pa.int64()), "b": pa.array(ids[code % max(len(ids), 1)], pa.int64())})
+
+    return run
+
+
+def _seek(h, s, level, sizes, n_levels, n_ids, share) -> np.ndarray:
+    """Codes of the pairs that the rarest identifiers of each cell find."""
+    order = np.argsort(h, kind="stable")
+    h, s, level = h[order], s[order], level[order]
+    first = np.r_[True, h[1:] != h[:-1]]
+    where = np.cumsum(first) - 1
+    begin = np.flatnonzero(first)
+    width = np.diff(np.r_[begin, len(h)])
+    df = width[where]
+    cs = s * n_levels + level
     n = sizes[cs]
     prefix = n - np.maximum(1, np.ceil(n * share - 1e-9).astype(np.int64)) + 1
     lone = sizes - np.bincount(cs, minlength=len(sizes))
-    rare = np.lexsort((hs, df, cs))
+    rare = np.lexsort((h, df, cs))
     c = cs[rare]
     head = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
     rank = np.empty(len(c), np.int64)
     rank[rare] = np.arange(len(c)) - np.repeat(head, np.diff(np.r_[head, len(c)]))
-    seeks = np.flatnonzero(rank + lone[cs] < prefix)
-    if not len(seeks):
-        return
-    begin = np.flatnonzero(np.r_[True, gs[1:] != gs[:-1]])
-    where = np.cumsum(np.r_[True, gs[1:] != gs[:-1]]) - 1
-    width = np.diff(np.r_[begin, len(gs)])
-    todo = width[where[seeks]]
-    bounds = np.searchsorted(np.cumsum(todo), np.arange(_PAIRS_AT_ONCE, todo.sum() + _PAIRS_AT_ONCE, _PAIRS_AT_ONCE), "left")
+    seeks = np.flatnonzero((rank + lone[cs] < prefix) & (df > 1))
     found, lo = np.empty(0, np.int64), 0
-    for hi in np.unique(np.r_[np.minimum(bounds + 1, len(seeks)), len(seeks)]):
+    if not len(seeks):
+        return found
+    todo = np.cumsum(width[where[seeks]])
+    cuts = np.searchsorted(todo, np.arange(_PAIRS_AT_ONCE, todo[-1] + _PAIRS_AT_ONCE, _PAIRS_AT_ONCE), "left") + 1
+    for hi in np.unique(np.r_[np.minimum(cuts, len(seeks)), len(seeks)]):
         part = seeks[lo:hi]
         if len(part):
             w = width[where[part]]
-            left = np.repeat(ss[part], w).astype(np.int64)
+            left = np.repeat(s[part], w).astype(np.int64)
             offset = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-            right = ss[np.repeat(begin[where[part]], w) + offset].astype(np.int64)
+            right = s[np.repeat(begin[where[part]], w) + offset].astype(np.int64)
             ok = left != right
-            code = np.minimum(left, right)[ok] * len(ids) + np.maximum(left, right)[ok]
-            found = np.union1d(found, code)
+            found = np.union1d(found, np.minimum(left, right)[ok] * n_ids + np.maximum(left, right)[ok])
         lo = hi
-    if len(found):
-        yield _out(_PAIR, ids[found // len(ids)], ids[found % len(ids)], cell, np.zeros(len(found), np.int64), None)
+    return found
+
+
+def _copies(cells: DataFrame, about: DataFrame) -> DataFrame:
+    """(a, rep) of every set that has copies: equal runs in every range, no identifier of its own, equal parameters."""
+    total = cells.where(F.col("kind") == _SIZE).groupBy("a").agg(F.sum("n").alias("total"))
+    digest = lambda i: F.sum(F.xxhash64(F.lit(i), "cell", "deltas").cast("decimal(38,0)"))
+    content = cells.where(F.col("kind") == _RUN).groupBy("a").agg(F.sum("n").alias("n"), digest(1).alias("d1"), digest(2).alias("d2"))
+    whole = content.join(total, "a").where("n = total").join(about.select("a", "ksize", "seed", "scaled"), "a")
+    keys = ["ksize", "seed", "scaled", "n", "d1", "d2"]
+    classes = whole.groupBy(*keys).agg(F.min("a").alias("rep"), F.count("*").alias("m")).where("m > 1")
+    return whole.join(classes, keys).select("a", "rep")
 
 
 def _out(kind, a, b, cell, n, deltas):
@@ -293,15 +338,7 @@ def overlaps(hashes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
         .select("set_id", "grp", level_of_hash.cast("int").alias("level"), "hash_value")
     )
     ranges = max(4, -(-hashes.count() // ROWS_PER_RANGE))
-    cells = materialise(_cells(members, share, ranges), "overlap-cells")
-    pairs = cells.where(F.col("kind") == _PAIR).select("a", "b").distinct()
-    runs = cells.where(F.col("kind") == _RUN)
-    met = (
-        pairs.join(runs.select("a", "cell", F.col("deltas").alias("run_a")), "a")
-        .join(runs.select(F.col("a").alias("b"), "cell", F.col("deltas").alias("run_b")), ["b", "cell"])
-        .select("a", "b", "run_a", "run_b")
-    )
-    counts = met.mapInArrow(_count_pairs, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_shared")).where("n_shared > 0")
+    cells = materialise(_cells(members, ranges), "overlap-cells")
     # sizes per set as an array over levels, at most one entry per distinct scaled
     sizes = (
         cells.where(F.col("kind") == _SIZE)
@@ -311,8 +348,26 @@ def overlaps(hashes: DataFrame, sets: DataFrame, share: float) -> DataFrame:
         .agg(F.collect_list(F.struct("level", "n")).alias("sizes"))
     )
     about = keyed.select(F.col("set_id").alias("a"), "sketch_path", "ksize", "seed", "scaled", "level_of_set").join(sizes, "a")
-    side = {x: about.select(F.col("a").alias(x), F.struct("sketch_path", "ksize", "seed", "scaled", "level_of_set", "sizes").alias(f"of_{x}")) for x in "ab"}
-    both = counts.join(side["a"], "a").join(side["b"], "b")
+    copies = materialise(_copies(cells, about), "overlap-copies")
+    single = cells.join(copies.where("a <> rep").select("a"), "a", "left_anti")  # one of each group of copies
+    limits = [-(-(2**64) // s) for s in order]
+    pairs = single.groupBy("cell").applyInArrow(_pairs_of_cell(limits or [0], share), "a bigint, b bigint").distinct()
+    runs = single.where(F.col("kind") == _RUN)
+    met = (
+        pairs.join(runs.select("a", "cell", F.col("deltas").alias("run_a")), "a")
+        .join(runs.select(F.col("a").alias("b"), "cell", F.col("deltas").alias("run_b")), ["b", "cell"])
+        .select("a", "b", "run_a", "run_b")
+    )
+    counts = met.mapInArrow(_count_pairs, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n_shared")).where("n_shared > 0")
+    about = about.join(copies, "a", "left").withColumn("rep", F.coalesce("rep", "a"))
+    columns = ["sketch_path", "ksize", "seed", "scaled", "level_of_set", "sizes"]
+    side = {x: about.select(F.col("rep").alias(x), F.struct(*columns).alias(f"of_{x}")) for x in "ab"}
+    both = counts.join(side["a"], "a").join(side["b"], "b").select("n_shared", "of_a", "of_b")
+    # copies among themselves share all they have
+    same = about.join(copies.select("a"), "a", "left_semi").select("rep", F.struct(*columns).alias("of"))
+    total = lambda c: F.aggregate(f"{c}.sizes", F.lit(0).cast("bigint"), lambda t, y: t + y["n"])
+    twins = same.withColumnRenamed("of", "of_a").join(same.withColumnRenamed("of", "of_b"), "rep").where("of_a.sketch_path < of_b.sketch_path")
+    both = both.unionByName(twins.select(total("of_a").alias("n_shared"), "of_a", "of_b"))
     both = both.where("of_a.ksize = of_b.ksize and of_a.seed = of_b.seed and of_a.sketch_path <> of_b.sketch_path")
     level = F.least("of_a.level_of_set", "of_b.level_of_set")
     size = lambda x: F.aggregate(F.filter(f"of_{x}.sizes", lambda y: y["level"] <= F.col("level")), F.lit(0).cast("bigint"), lambda t, y: t + y["n"])

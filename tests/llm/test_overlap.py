@@ -44,6 +44,9 @@ def test_against_all_pairs(spark, monkeypatch, share, seed):
         mine += [h for h in hot if rng.random() < 0.9]
         rng.shuffle(mine)
         hashes += [(f"s{i}", h, "x") for h in mine] + [(f"s{i}", h, "x") for h in mine[:3]]
+    for i in range(6):  # copies, of equal and of other parameters
+        sets.append((f"C{i}", f"copy{i}", 31, 1000 if i < 4 else 2000, 42, "DNA", 7))
+        hashes += [(f"copy{i}", h, "x") for h in pool[100:130]]
     sets += [sets[0], ("B", "sn", None, 1000, 42, None, 1), ("B", "sm", 31, None, 42, None, 1), (None, None, 31, 1000, 42, None, None), ("E", "empty", 31, 1000, 42, None, None)]
     hashes += [("sn", pool[0], None), (None, pool[0], None), ("s1", None, None), ("gone", pool[1], None)]
     got = run(spark, sets, hashes, share)
