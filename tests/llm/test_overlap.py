@@ -82,3 +82,15 @@ def test_runs_decode():
     values = [np.array([5, 9, 2**63 + 3], np.uint64), np.array([], np.uint64), np.array([0, 7], np.uint64)]
     deltas = np.concatenate([np.diff(v, prepend=np.uint64(0)) for v in values])
     assert overlap.decode_runs(np.array([0, 3, 3, 5]), deltas).tolist() == [5, 9, 2**63 + 3, 0, 7]
+
+
+def test_many_copies(spark):
+    """A third of all sets are copies of one: no pair is formed inside the group before the result."""
+    rng = random.Random(9)
+    core = [rng.randrange(2**64 // 1000) for _ in range(300)]
+    sets = [(f"A{i}", f"c{i:03}", 31, 1000, 42, "DNA", 0) for i in range(150)] + [(f"B{i}", f"o{i:03}", 31, 1000, 42, "DNA", 0) for i in range(300)]
+    hashes = [(f"c{i:03}", h, "") for i in range(150) for h in core]
+    hashes += [(f"o{i:03}", h, "") for i in range(300) for h in [rng.randrange(2**64 // 1000) for _ in range(30)] + (core[:40] if i == 7 else core[:1])]
+    got = run(spark, sets, hashes, 0.1)
+    copies = {(f"c{i:03}", f"c{j:03}", 1000, 300, 300, 300) for i in range(150) for j in range(i + 1, 150)}
+    assert got == copies | {(f"c{i:03}", "o007", 1000, 40, 300, 70) for i in range(150)}
