@@ -152,6 +152,20 @@ def node_tables(nodes: DataFrame, types: dict[tuple, str] = REPORT_TYPES) -> dic
     return {t: nodes.where(F.col("node_type") == t).drop("node_type") for t in types.values()}
 
 
+def flat_table(nodes: DataFrame, node_type: str, path: str, fields: list[str]) -> DataFrame:
+    """Elements of one type with their own values as columns, beside their labels and positions.
+
+    ``path`` is the elements' path in the node rows; a field that an element lacks, or that holds more than one value, is
+    null. ``nodes`` must hold the untyped ones too.
+    """
+    leaves = nodes.where(F.col("node_type").isNull() & F.col("path").isin([f"{path}/{f}" for f in fields]))
+    values = leaves.groupBy("record_id", "payload_hash", F.col("parent_pre").alias("pre")).agg(
+        *[F.max(F.when(F.col("path") == f"{path}/{f}", F.col("value"))).alias(f) for f in fields]
+    )
+    elements = nodes.where(F.col("node_type") == node_type).select("record_id", "payload_hash", "pre", "post", "position", "linked_position")
+    return elements.join(values, ["record_id", "payload_hash", "pre"], "left")
+
+
 def contained(nodes: DataFrame, ancestors: dict[str, list[str]]) -> DataFrame:
     """``nodes`` with, per ancestor type, the asked columns of the enclosing node as ``<type>_<column>`` (null: none).
 

@@ -75,7 +75,17 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.label_nodes(table(spark, d, "bakta_json"), "report_id", "payload")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_orphan_counts, p4_found, p4_species_summary, p4_taxonomy_summary, p5_found, p5_nodes)}
+def p5_features(spark: SparkSession, d: str) -> DataFrame:
+    """Features as a flat table: position, sequence and own values; repeated rows of a report count once."""
+    nodes = nested.label_nodes(table(spark, d, "bakta_json"), "report_id", "payload")
+    flat = nested.flat_table(nodes, "features", "features", ["type", "start", "stop", "strand", "locus", "product"])
+    return flat.select(
+        F.col("record_id").alias("report_id"), F.col("position").alias("feature_no"), F.col("linked_position").alias("sequence_no"), "type",
+        F.col("start").try_cast("bigint").alias("start"), F.col("stop").try_cast("bigint").alias("stop"), "strand", "locus", "product",
+    ).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_orphan_counts, p4_found, p4_species_summary, p4_taxonomy_summary, p5_found, p5_features, p5_nodes)}
 
 _SPACES = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -126,14 +136,15 @@ def _items(name: str, source: str, keys: str, x: str) -> str:
 _UNWRAP = """CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN CAST(j ->> '$' AS JSON) END
   WHEN json_type(j) = 'ARRAY' AND json_array_length(j) = 1 THEN j -> 0 ELSE j END"""
 _REPORTS = ", ".join(f"v{i + 1} AS (SELECT report_id, {_UNWRAP} AS j FROM v{i})" for i in range(5))
-_ELEMENTS = f"""
+_REPORT_SQL = f"""
 WITH v0 AS (SELECT report_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM bakta_json),
 {_REPORTS}, r AS (SELECT report_id, j FROM v5 WHERE json_type(j) = 'OBJECT'),
 {_items("s", "r", "report_id", "j -> 'sequences'")},
 ids AS (SELECT report_id, e ->> 'id' AS id, min(n) AS n FROM s WHERE json_type(e) = 'OBJECT' GROUP BY 1, 2),
 {_items("f0", "r", "report_id", "j -> 'features'")},
 f AS (SELECT f0.report_id, f0.e, f0.n AS fn, coalesce(ids.n, -1) AS sn FROM f0 LEFT JOIN ids ON ids.report_id = f0.report_id AND ids.id = coalesce(f0.e ->> 'sequence', f0.e ->> 'contig')),
-{_items("x", "f", "report_id, fn, sn", "e -> 'db_xrefs'")},
+{_items("x", "f", "report_id, fn, sn", "e -> 'db_xrefs'")}"""
+_ELEMENTS = f"""{_REPORT_SQL},
 {_items("p", "f", "report_id, fn, sn", "e -> 'pfams'")},
 {_items("y", "(SELECT report_id, fn, sn, n AS pn, e FROM p)", "report_id, fn, sn, pn", "e -> 'db_xrefs'")}
 SELECT DISTINCT report_id, child, CAST(a AS INT) AS sequence_no, CAST(b AS INT) AS feature_no, CAST(c AS INT) AS item_no, CAST(d AS INT) AS sub_no FROM (
@@ -143,6 +154,9 @@ SELECT DISTINCT report_id, child, CAST(a AS INT) AS sequence_no, CAST(b AS INT)
 
 SQL = {
     "p5_found": _ELEMENTS,
+    "p5_features": _REPORT_SQL
+    + """ SELECT DISTINCT report_id, CAST(fn AS INT) AS feature_no, CAST(sn AS INT) AS sequence_no, e ->> 'type' AS type, TRY_CAST(e ->> 'start' AS BIGINT) AS start,
+  TRY_CAST(e ->> 'stop' AS BIGINT) AS stop, e ->> 'strand' AS strand, e ->> 'locus' AS locus, e ->> 'product' AS product FROM f""",
     "p3_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_field, record_key, period, kind FROM orphans",
     "p3_orphan_counts": _ORPHANS
     + "SELECT ref_table, ref_field, period, kind, CAST(sum(n) AS BIGINT) AS n_rows, count(DISTINCT k) AS n_keys FROM orphans GROUP BY ALL",
