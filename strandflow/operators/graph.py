@@ -153,8 +153,8 @@ def colour_occurrences(edges: DataFrame) -> DataFrame:
 
 def append(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
     """``right`` behind ``left``: positions continue after the greatest of ``left``."""
-    shift = left.agg((F.coalesce(F.max(order), F.lit(-1)) + 1).alias("_shift"))
-    moved = right.crossJoin(F.broadcast(shift)).withColumn(order, F.col(order) + F.col("_shift")).drop("_shift")  # one row
+    top = left.agg(F.max(order)).first()[0]  # one number
+    moved = right.withColumn(order, F.col(order) + F.lit(0 if top is None else top + 1))
     return left.unionByName(moved)
 
 

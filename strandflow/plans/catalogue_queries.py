@@ -104,6 +104,17 @@ def manifest_counts(spark, d):
     return manifest.counts(table(spark, d, "bakta").select(F.col("file_name").alias("accession"), F.col("status").alias("state")).distinct())
 
 
+def manifest_transitions(spark, d):
+    """Annotations reserved by one package, then completed or failed by their status."""
+    rows = table(spark, d, "bakta").where("file_name is not null").groupBy(F.col("file_name").alias("accession")).agg(F.max("status").alias("status"))
+    at = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    empty = spark.createDataFrame([], manifest.SCHEMA)
+    m, _ = manifest.reserve(empty, rows.select("accession", F.lit("1").alias("taxid")), "p", at)
+    m = manifest.mark_complete(m, rows.where("status = 'PASS'"), "p", at)
+    m = manifest.mark_failed(m, rows.where("status = 'FAIL'"), "p", "annotation failed")
+    return m.groupBy("state", "error").agg(F.count("*").alias("n"), F.count("completed_at").alias("n_completed"))
+
+
 def pending_anti(spark, d):
     """Assemblies without an annotation."""
     wanted = table(spark, d, "assembly").select(F.col("sample_accession").alias("sample")).distinct()
@@ -388,7 +399,7 @@ def chunk_lookup(spark, d):
 
 _FUNCTIONS = (
     chunk_lookup, catalog_count, catalog_count_annotated, catalog_count_by, catalog_top_species, catalog_head, catalog_plan, catalog_plan_batches, catalog_paths, star_join,
-    batch_group, manifest_last_rows, manifest_paths, manifest_reserve, manifest_counts, pending_anti, accession_subset, sample_rows, cache_prune,
+    batch_group, manifest_last_rows, manifest_paths, manifest_reserve, manifest_counts, manifest_transitions, pending_anti, accession_subset, sample_rows, cache_prune,
     upsert_taxonomy, insert_missing, lineage_ancestor, lineage_paths, taxon_resolve, taxon_groups, taxon_candidates, read_ids, fastq_names, dbxref_parse,
     gff_attributes, json_props, set_digests, sketch_frac, sketch_sizes, sketch_downsample, pairwise_containment, pairwise_within, screen_top, screen_results,
     ani_clusters, ani_refine, ani_cluster_stats, ani_new_singletons, ani_digests, derep_pick, fragment_clip, interval_colours, interval_overlap,
@@ -470,6 +481,9 @@ SELECT path, CASE WHEN ext IN ('fna', 'fa', 'fasta') THEN 'FASTA' WHEN ext IN ('
 SELECT DISTINCT b.sample AS accession, '0' AS taxid, CASE WHEN state IS NULL THEN 'new' WHEN state = 'failed' THEN 'clean' WHEN state IN ('reserved', 'cleaning') THEN 'occupied' ELSE 'complete' END AS action
 FROM bakta b LEFT JOIN st ON b.sample = st.accession WHERE b.sample IS NOT NULL""",
     "manifest_counts": "SELECT status AS state, count(*) AS n FROM (SELECT DISTINCT file_name, status FROM bakta) GROUP BY 1",
+    "manifest_transitions": """WITH r AS (SELECT file_name, max(status) AS s FROM bakta WHERE file_name IS NOT NULL GROUP BY 1)
+SELECT CASE s WHEN 'PASS' THEN 'complete' WHEN 'FAIL' THEN 'failed' ELSE 'reserved' END AS state, CASE s WHEN 'FAIL' THEN 'annotation failed' END AS error, count(*) AS n,
+  count(CASE s WHEN 'PASS' THEN 1 END) AS n_completed FROM r GROUP BY 1, 2""",
     "pending_anti": "SELECT DISTINCT sample_accession AS sample FROM assembly WHERE sample_accession NOT IN (SELECT sample FROM bakta WHERE sample IS NOT NULL)",
     "accession_subset": "SELECT DISTINCT accession, fasta FROM genome_manifest WHERE accession IN (SELECT accession FROM genome_manifest WHERE taxonomy LIKE '% sp.')",
     "sample_rows": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey || ':7'), o_orderkey LIMIT 100",

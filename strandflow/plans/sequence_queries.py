@@ -95,6 +95,10 @@ def suffix_plan_cumulative(spark, d):
     return K.suffix_plan(suffix_histogram(spark, d), "source")
 
 
+def kmers_by_suffix(spark, d):
+    return K.filter_by_suffix(kmer_count_both_strands(spark, d), "ACGT")
+
+
 def terminals(spark, d):
     return K.terminals(K.strands(sequences(spark, d).select("seq")), NODE)
 
@@ -171,6 +175,18 @@ def dbg_outgoing(spark, d):
     return G.outgoing(e, e.select("node", F.lit("G").alias("sym")).distinct())
 
 
+def dbg_find_between(spark, d):
+    """The edge with symbol T that a search in one id range meets first."""
+    return G.find_between(_numbered(spark, d), 100, 400, "T").select("eid", "node", "sym", "first")
+
+
+def dbg_append(spark, d):
+    """Edges of two graphs in one numbering, the second behind the first."""
+    q, r = _query_and_reference(spark, d)
+    one, two = (G.with_ids(G.build(x, NODE)).select("eid", "node", "sym") for x in (q, r))
+    return G.append(one, two, "eid")
+
+
 def dbg_node_ranges(spark, d):
     return G.node_ranges(_numbered(spark, d))
 
@@ -220,8 +236,8 @@ def accumulate_depths(spark, d):
 
 _FUNCTIONS = (
     revcomp, dna_ranks, bit_widths, split_non_acgt, kmer_count_both_strands, kmer_count_packed, kmer_count_canonical, kmer_colour_sets, kmer_overview, suffix_histogram,
-    suffix_plan_cumulative, terminals, terminals_dense, size_statistics, median_length, chunks_with_overlap, ntile_chunks, dbg_edges, dbg_edge_ids,
-    dbg_counts, dbg_colours, meta_colours, colour_occurrence, dbg_f_c, dbg_size, dbg_fwd, dbg_bwd, dbg_outgoing, dbg_node_ranges, dbg_labels, dbg_rank,
+    suffix_plan_cumulative, kmers_by_suffix, terminals, terminals_dense, size_statistics, median_length, chunks_with_overlap, ntile_chunks, dbg_edges, dbg_edge_ids,
+    dbg_counts, dbg_colours, meta_colours, colour_occurrence, dbg_f_c, dbg_size, dbg_fwd, dbg_bwd, dbg_outgoing, dbg_find_between, dbg_append, dbg_node_ranges, dbg_labels, dbg_rank,
     dbg_difference_class, dbg_coverage, dbg_merge_order, classify_left_join, accumulate, accumulate_depths,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -278,6 +294,10 @@ SELECT doc_id, len(parts) AS n_fragments, array_to_string(parts, ',') AS fragmen
     "suffix_histogram": f"WITH {_S}, {_KM.format('s')}, {_HIST} SELECT source, suffix, n FROM h",
     "suffix_plan_cumulative": f"""WITH {_S}, {_KM.format('s')}, {_HIST}, u AS (SELECT *, CAST(sum(n) OVER (PARTITION BY suffix ORDER BY source) AS BIGINT) AS until FROM h)
 SELECT source, suffix, n, until, until - n AS "from" FROM u""",
+    "kmers_by_suffix": f"WITH {_S}, {_BOTH}, {_KM.format('both_')} SELECT kmer, count(*) AS n FROM km WHERE kmer LIKE '%ACGT' GROUP BY 1",
+    "dbg_find_between": f"{_NUM} SELECT eid, node, sym, first FROM x WHERE eid BETWEEN 100 AND 400 AND sym = 'T' ORDER BY first DESC, eid LIMIT 1",
+    "dbg_append": f"""{_CLASSIFY} SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid, node, sym FROM q
+UNION ALL SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 + (SELECT count(*) FROM q), node, sym FROM r""",
     "terminals": f"WITH {_S}, {_BOTH}, {_TERM.format(NODE)} SELECT node, sym FROM t",
     "terminals_dense": f"WITH {_S}, {_BOTH}, {_TERM.format(3)} SELECT node, sym FROM t",
     "size_statistics": f"""WITH {_S} SELECT source, count(*) AS n_fragments, CAST(sum(length(seq)) AS BIGINT) AS n_symbols, CAST(sum(length(seq) - {KMER} + 1) AS BIGINT) AS n_kmers,
