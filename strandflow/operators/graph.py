@@ -71,9 +71,10 @@ def with_ids(edges: DataFrame) -> DataFrame:
 def offsets(edges: DataFrame) -> DataFrame:
     """(sym, f, c): edges and nodes whose last symbol is below ``sym``."""
     tail = edges.groupBy("node").agg(F.count("*").alias("e")).groupBy(F.substring("node", -1, 1).alias("t")).agg(F.sum("e").alias("e"), F.count("*").alias("n"))
-    symbols = edges.sparkSession.createDataFrame([(s,) for s in SYMBOLS], "sym string")
-    joined = symbols.join(F.broadcast(tail), F.col("t") < F.col("sym"), "left")  # five rows each
-    return joined.groupBy("sym").agg(F.coalesce(F.sum("e"), F.lit(0)).alias("f"), F.coalesce(F.sum("n"), F.lit(0)).alias("c"))
+    above = F.filter(F.array(*map(F.lit, SYMBOLS)), lambda x: x > F.col("t"))
+    none = edges.sparkSession.createDataFrame([(s, 0, 0) for s in SYMBOLS], "sym string, e long, n long")
+    rows = tail.select(F.explode(above).alias("sym"), "e", "n").unionByName(none)  # a few rows per symbol
+    return rows.groupBy("sym").agg(F.sum("e").alias("f"), F.sum("n").alias("c"))
 
 
 def w_codes(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from strandflow.operators import graph as G
 from strandflow.operators import kmers as K
 
 KMER, NODE, SUFFIX = 11, 6, 4
+#: Nodes of 6 bases saturate: 4^7 unpadded edges, reached at sf0.1. Every graph query also runs on nodes of this length.
+LONG_NODE = 21
 HEX = "0123456789abcdef"
 
 
@@ -33,12 +37,12 @@ def _by_source():
     return Window.orderBy("source")  # a handful of sources
 
 
-def _graph(spark, d, mode, flags=False):
-    return G.build(sequences(spark, d), NODE, mode, flags=flags)
+def _graph(spark, d, mode, k, flags=False):
+    return G.build(sequences(spark, d), k, mode, flags=flags)
 
 
-def _numbered(spark, d, mode="plain"):
-    return G.with_ids(_graph(spark, d, mode, flags=True))
+def _numbered(spark, d, k, mode="plain"):
+    return G.with_ids(_graph(spark, d, mode, k, flags=True))
 
 
 def revcomp(spark, d):
@@ -99,8 +103,8 @@ def kmers_by_suffix(spark, d):
     return K.filter_by_suffix(kmer_count_both_strands(spark, d), "ACGT")
 
 
-def terminals(spark, d):
-    return K.terminals(K.strands(sequences(spark, d).select("seq")), NODE)
+def terminals(spark, d, k=NODE):
+    return K.terminals(K.strands(sequences(spark, d).select("seq")), k)
 
 
 def terminals_dense(spark, d):
@@ -128,90 +132,90 @@ def ntile_chunks(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.ntile(7).over(w).alias("chunk"))
 
 
-def dbg_edges(spark, d):
-    return _graph(spark, d, "plain", flags=True)
+def dbg_edges(spark, d, k=NODE):
+    return _graph(spark, d, "plain", k, flags=True)
 
 
-def dbg_edge_ids(spark, d):
-    e = G.w_codes(_numbered(spark, d))
+def dbg_edge_ids(spark, d, k=NODE):
+    e = G.w_codes(_numbered(spark, d, k))
     return e.select("eid", "node", "sym", "w")
 
 
-def dbg_counts(spark, d):
-    return _graph(spark, d, "weighted")
+def dbg_counts(spark, d, k=NODE):
+    return _graph(spark, d, "weighted", k)
 
 
-def dbg_colours(spark, d):
-    return _graph(spark, d, "coloured").select("node", "sym", F.array_join("colours", ",").alias("colours"))
+def dbg_colours(spark, d, k=NODE):
+    return _graph(spark, d, "coloured", k).select("node", "sym", F.array_join("colours", ",").alias("colours"))
 
 
-def meta_colours(spark, d):
-    edges, _ = G.meta_colours(_graph(spark, d, "coloured"), 10)
+def meta_colours(spark, d, k=NODE):
+    edges, _ = G.meta_colours(_graph(spark, d, "coloured", k), 10)
     return edges.select("node", "sym", "meta_id")
 
 
-def colour_occurrence(spark, d):
-    return G.colour_occurrences(_graph(spark, d, "coloured"))
+def colour_occurrence(spark, d, k=NODE):
+    return G.colour_occurrences(_graph(spark, d, "coloured", k))
 
 
-def dbg_f_c(spark, d):
-    return G.offsets(_graph(spark, d, "plain"))
+def dbg_f_c(spark, d, k=NODE):
+    return G.offsets(_graph(spark, d, "plain", k))
 
 
-def dbg_size(spark, d):
-    return G.counts(_graph(spark, d, "plain"))
+def dbg_size(spark, d, k=NODE):
+    return G.counts(_graph(spark, d, "plain", k))
 
 
-def dbg_fwd(spark, d):
-    return G.fwd(_numbered(spark, d))
+def dbg_fwd(spark, d, k=NODE):
+    return G.fwd(_numbered(spark, d, k))
 
 
-def dbg_bwd(spark, d):
-    return G.bwd(_numbered(spark, d))
+def dbg_bwd(spark, d, k=NODE):
+    return G.bwd(_numbered(spark, d, k))
 
 
-def dbg_outgoing(spark, d):
-    e = _numbered(spark, d)
+def dbg_outgoing(spark, d, k=NODE):
+    e = _numbered(spark, d, k)
     return G.outgoing(e, e.select("node", F.lit("G").alias("sym")).distinct())
 
 
-def dbg_find_between(spark, d):
+def dbg_find_between(spark, d, k=NODE):
     """The edge with symbol T that a search in one id range meets first."""
-    return G.find_between(_numbered(spark, d), 100, 400, "T").select("eid", "node", "sym", "first")
+    return G.find_between(_numbered(spark, d, k), 100, 400, "T").select("eid", "node", "sym", "first")
 
 
-def dbg_append(spark, d):
+def dbg_append(spark, d, k=NODE):
     """Edges of two graphs in one numbering, the second behind the first."""
     q, r = _query_and_reference(spark, d)
-    one, two = (G.with_ids(G.build(x, NODE)).select("eid", "node", "sym") for x in (q, r))
+    one, two = (G.with_ids(G.build(x, k)).select("eid", "node", "sym") for x in (q, r))
     return G.append(one, two, "eid")
 
 
-def dbg_node_ranges(spark, d):
-    return G.node_ranges(_numbered(spark, d))
+def dbg_node_ranges(spark, d, k=NODE):
+    return G.node_ranges(_numbered(spark, d, k))
 
 
-def dbg_labels(spark, d):
-    return G.labels(_numbered(spark, d))
+def dbg_labels(spark, d, k=NODE):
+    return G.labels(_numbered(spark, d, k))
 
 
-def dbg_rank(spark, d):
-    return G.rank_symbol(_numbered(spark, d))
+def dbg_rank(spark, d, k=NODE):
+    return G.rank_symbol(_numbered(spark, d, k))
 
 
-def dbg_difference_class(spark, d):
-    return G.difference_class(_graph(spark, d, "plain"), NODE)
+def dbg_difference_class(spark, d, k=NODE):
+    return G.difference_class(_graph(spark, d, "plain", k), k)
 
 
-def dbg_coverage(spark, d):
-    rows = K.edges(K.strands(sequences(spark, d).select("seq", "colour")), NODE)
+def dbg_coverage(spark, d, k=NODE):
+    rows = K.edges(K.strands(sequences(spark, d).select("seq", "colour")), k)
     return G.coverage(rows)
 
 
-def dbg_merge_order(spark, d):
+def dbg_merge_order(spark, d, k=NODE):
     frags = K.strands(sequences(spark, d).select("seq"))
-    t = K.terminals(frags, NODE)
-    e = _graph(spark, d, "plain").where(~F.col("node").contains("$"))
+    t = K.terminals(frags, k)
+    e = _graph(spark, d, "plain", k).where(~F.col("node").contains("$"))
     return G.merge_sorted(e, t)
 
 
@@ -220,18 +224,18 @@ def _query_and_reference(spark, d):
     return s.where("lang = 'python'"), s.where("lang <> 'python' or lang is null")
 
 
-def classify_left_join(spark, d):
+def classify_left_join(spark, d, k=NODE):
     q, r = _query_and_reference(spark, d)
-    return C.classify(G.with_ids(G.build(q, NODE)), G.with_ids(G.build(r, NODE)).select("node", "sym", "eid"))
+    return C.classify(G.with_ids(G.build(q, k)), G.with_ids(G.build(r, k)).select("node", "sym", "eid"))
 
 
-def accumulate(spark, d):
+def accumulate(spark, d, k=NODE):
     q, r = _query_and_reference(spark, d)
-    return C.accumulate(G.build(q, NODE, "weighted"), G.build(r, NODE, "coloured"))
+    return C.accumulate(G.build(q, k, "weighted"), G.build(r, k, "coloured"))
 
 
-def accumulate_depths(spark, d):
-    return C.colour_depths(accumulate(spark, d))
+def accumulate_depths(spark, d, k=NODE):
+    return C.colour_depths(accumulate(spark, d, k))
 
 
 _FUNCTIONS = (
@@ -240,7 +244,11 @@ _FUNCTIONS = (
     dbg_counts, dbg_colours, meta_colours, colour_occurrence, dbg_f_c, dbg_size, dbg_fwd, dbg_bwd, dbg_outgoing, dbg_find_between, dbg_append, dbg_node_ranges, dbg_labels, dbg_rank,
     dbg_difference_class, dbg_coverage, dbg_merge_order, classify_left_join, accumulate, accumulate_depths,
 )
-QUERIES = {f.__name__: f for f in _FUNCTIONS}
+_GRAPH = (
+    terminals, dbg_edges, dbg_edge_ids, dbg_counts, dbg_colours, meta_colours, colour_occurrence, dbg_f_c, dbg_size, dbg_fwd, dbg_bwd, dbg_outgoing, dbg_find_between,
+    dbg_append, dbg_node_ranges, dbg_labels, dbg_rank, dbg_difference_class, dbg_coverage, dbg_merge_order, classify_left_join, accumulate, accumulate_depths,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS} | {f"{f.__name__}_k{LONG_NODE}": partial(f, k=LONG_NODE) for f in _GRAPH}
 
 _S = f"""
 s AS (
@@ -250,10 +258,10 @@ _RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 _BOTH = f"both_ AS (SELECT doc_id, source, lang, colour, unnest([seq, {_RC.format('seq')}]) AS seq FROM s)"
 
 
-def _edge_rows(source: str = "both_", name: str = "rows_") -> str:
-    pad = "$" * NODE
+def _edge_rows(k: int, source: str = "both_", name: str = "rows_") -> str:
+    pad = "$" * k
     return f"""{name}0 AS (SELECT *, unnest(range(1, length(seq) + 2)) AS i FROM {source}),
-{name} AS (SELECT source, lang, colour, substr('{pad}' || seq || '$', i, {NODE}) AS node, substr('{pad}' || seq || '$', i + {NODE}, 1) AS sym FROM {name}0)"""
+{name} AS (SELECT source, lang, colour, substr('{pad}' || seq || '$', i, {k}) AS node, substr('{pad}' || seq || '$', i + {k}, 1) AS sym FROM {name}0)"""
 
 
 def _edge_table(rows: str = "rows_", name: str = "e") -> str:
@@ -262,18 +270,55 @@ def _edge_table(rows: str = "rows_", name: str = "e") -> str:
 {name} AS (SELECT * FROM (SELECT *, bool_or(sym <> '$') OVER (PARTITION BY node) AS real FROM {name}0) WHERE sym <> '$' OR NOT real)"""
 
 
-_BASE = f"WITH {_S}, {_BOTH}, {_edge_rows()}, {_edge_table()}"
-_NUM = f"""{_BASE}, x AS (
+_KM = f"km AS (SELECT source, substr(seq, i, {KMER}) AS kmer FROM (SELECT source, seq, unnest(range(1, length(seq) - {KMER} + 2)) AS i FROM {{}}))"
+_HIST = f"h AS (SELECT source, substr(kmer, {KMER - SUFFIX + 1}, {SUFFIX}) AS suffix, count(*) AS n FROM km GROUP BY 1, 2)"
+def _term(k: int) -> str:
+    return f"""t AS (SELECT DISTINCT repeat('$', {k} - i) || substr(seq, 1, i) AS node, substr(seq, i + 1, 1) AS sym FROM (SELECT seq, unnest(range(0, {{}})) AS i FROM both_))"""
+
+
+def _graph_sql(k: int) -> dict[str, str]:
+    """SQL of the graph and classification queries on nodes of ``k`` bases."""
+    base = f"WITH {_S}, {_BOTH}, {_edge_rows(k)}, {_edge_table()}"
+    num = f"""{base}, x AS (
   SELECT node, sym, row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid,
     CAST(row_number() OVER (PARTITION BY substr(node, 2), sym ORDER BY reverse(node)) = 1 AS INT) AS first,
     CAST(row_number() OVER (PARTITION BY node ORDER BY sym DESC) = 1 AS INT) AS last
   FROM e)"""
-_KM = f"km AS (SELECT source, substr(seq, i, {KMER}) AS kmer FROM (SELECT source, seq, unnest(range(1, length(seq) - {KMER} + 2)) AS i FROM {{}}))"
-_HIST = f"h AS (SELECT source, substr(kmer, {KMER - SUFFIX + 1}, {SUFFIX}) AS suffix, count(*) AS n FROM km GROUP BY 1, 2)"
-_TERM = f"""t AS (SELECT DISTINCT repeat('$', {NODE} - i) || substr(seq, 1, i) AS node, substr(seq, i + 1, 1) AS sym FROM (SELECT seq, unnest(range(0, {{}})) AS i FROM both_))"""
-_CLASSIFY = f"""WITH {_S}, {_BOTH},
+    classify = f"""WITH {_S}, {_BOTH},
 qs AS (SELECT * FROM both_ WHERE lang = 'python'), rs AS (SELECT * FROM both_ WHERE lang <> 'python' OR lang IS NULL),
-{_edge_rows('qs', 'qr')}, {_edge_rows('rs', 'rr')}, {_edge_table('qr', 'q')}, {_edge_table('rr', 'r')}"""
+{_edge_rows(k, 'qs', 'qr')}, {_edge_rows(k, 'rs', 'rr')}, {_edge_table('qr', 'q')}, {_edge_table('rr', 'r')}"""
+    return {
+        "dbg_find_between": f"{num} SELECT eid, node, sym, first FROM x WHERE eid BETWEEN 100 AND 400 AND sym = 'T' ORDER BY first DESC, eid LIMIT 1",
+        "dbg_append": f"""{classify} SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid, node, sym FROM q
+UNION ALL SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 + (SELECT count(*) FROM q), node, sym FROM r""",
+        "terminals": f"WITH {_S}, {_BOTH}, {_term(k).format(k)} SELECT node, sym FROM t",
+        "dbg_edges": f"{num} SELECT node, sym, first, last FROM x",
+        "dbg_edge_ids": f"{num} SELECT eid, node, sym, CAST(instr('$ACGT', sym) - 1 + 8 * first AS INT) AS w FROM x",
+        "dbg_counts": f"{base} SELECT node, sym, n FROM e",
+        "dbg_colours": f"{base} SELECT node, sym, array_to_string(colours, ',') AS colours FROM e",
+        "meta_colours": f"""{base}, m AS (SELECT colours, row_number() OVER (ORDER BY array_to_string(colours, ',')) + 9 AS id FROM (SELECT DISTINCT colours FROM e WHERE len(colours) > 1))
+SELECT node, sym, coalesce(m.id, e.colours[1]) AS meta_id FROM e LEFT JOIN m ON e.colours = m.colours""",
+        "colour_occurrence": f"{base} SELECT colour, count(*) AS n FROM (SELECT unnest(colours) AS colour FROM e) GROUP BY 1",
+        "dbg_f_c": f"""{base}, sy AS (SELECT unnest(['$', 'A', 'C', 'G', 'T']) AS sym)
+SELECT sym, (SELECT count(*) FROM e WHERE right(node, 1) < sy.sym) AS f, (SELECT count(DISTINCT node) FROM e WHERE right(node, 1) < sy.sym) AS c FROM sy""",
+        "dbg_size": f"{base} SELECT count(*) AS n_edges, count(DISTINCT node) AS n_nodes FROM e",
+        "dbg_fwd": f"{num} SELECT a.eid, b.eid AS fwd FROM x a LEFT JOIN x b ON a.sym <> '$' AND b.last = 1 AND b.node = substr(a.node, 2) || a.sym",
+        "dbg_bwd": f"{num} SELECT a.eid, b.eid AS bwd FROM x a LEFT JOIN x b ON b.first = 1 AND b.sym <> '$' AND a.node = substr(b.node, 2) || b.sym",
+        "dbg_outgoing": f"{num} SELECT n.node, 'G' AS sym, x.eid FROM (SELECT DISTINCT node FROM x) n LEFT JOIN x ON x.node = n.node AND x.sym = 'G'",
+        "dbg_node_ranges": f"{num} SELECT node, min(eid) AS open, max(eid) AS close FROM x GROUP BY 1",
+        "dbg_labels": f"{num} SELECT eid, replace(node || sym, '$', '') AS label FROM x",
+        "dbg_rank": f"{num} SELECT eid, sym, count(*) OVER (PARTITION BY sym ORDER BY eid) AS rank FROM x",
+        "dbg_difference_class": f"""{base} SELECT node, CASE WHEN row_number() OVER (PARTITION BY substr(node, 2) ORDER BY reverse(node)) = 1 THEN 'NEW' ELSE 'SAME_BLOCK' END AS class
+FROM (SELECT DISTINCT node FROM e)""",
+        "dbg_coverage": f"WITH {_S}, {_BOTH}, {_edge_rows(k)} SELECT node, substr(node, 2) || sym AS target, colour, count(*) AS n FROM rows_ WHERE sym <> '$' GROUP BY ALL",
+        "dbg_merge_order": f"{base}, {_term(k).format(k)} SELECT node, sym, 1 AS is_terminal FROM t UNION ALL SELECT node, sym, 0 FROM e WHERE NOT contains(node, '$')",
+        "classify_left_join": f"""{classify}, qn AS (SELECT node, sym, row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid FROM q),
+rn AS (SELECT node, sym, row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid FROM r)
+SELECT node, sym, qn.eid, coalesce(rn.eid, -1) AS ref_eid FROM qn LEFT JOIN rn USING (node, sym)""",
+        "accumulate": f"{classify} SELECT node, sym, unnest(r.colours) AS colour, q.n AS depth FROM q JOIN r USING (node, sym)",
+        "accumulate_depths": f"{classify}, a AS (SELECT unnest(r.colours) AS colour, q.n AS depth FROM q JOIN r USING (node, sym)) SELECT colour, count(*) AS n_edges, CAST(sum(depth) AS BIGINT) AS depth FROM a GROUP BY 1",
+    }
+
 
 SQL = {
     "revcomp": f"""WITH {_S} SELECT doc_id, {_RC.format('seq')} AS rc, least(seq, {_RC.format('seq')}) AS canon,
@@ -295,11 +340,7 @@ SELECT doc_id, len(parts) AS n_fragments, array_to_string(parts, ',') AS fragmen
     "suffix_plan_cumulative": f"""WITH {_S}, {_KM.format('s')}, {_HIST}, u AS (SELECT *, CAST(sum(n) OVER (PARTITION BY suffix ORDER BY source) AS BIGINT) AS until FROM h)
 SELECT source, suffix, n, until, until - n AS "from" FROM u""",
     "kmers_by_suffix": f"WITH {_S}, {_BOTH}, {_KM.format('both_')} SELECT kmer, count(*) AS n FROM km WHERE kmer LIKE '%ACGT' GROUP BY 1",
-    "dbg_find_between": f"{_NUM} SELECT eid, node, sym, first FROM x WHERE eid BETWEEN 100 AND 400 AND sym = 'T' ORDER BY first DESC, eid LIMIT 1",
-    "dbg_append": f"""{_CLASSIFY} SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid, node, sym FROM q
-UNION ALL SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 + (SELECT count(*) FROM q), node, sym FROM r""",
-    "terminals": f"WITH {_S}, {_BOTH}, {_TERM.format(NODE)} SELECT node, sym FROM t",
-    "terminals_dense": f"WITH {_S}, {_BOTH}, {_TERM.format(3)} SELECT node, sym FROM t",
+    "terminals_dense": f"WITH {_S}, {_BOTH}, {_term(NODE).format(3)} SELECT node, sym FROM t",
     "size_statistics": f"""WITH {_S} SELECT source, count(*) AS n_fragments, CAST(sum(length(seq)) AS BIGINT) AS n_symbols, CAST(sum(length(seq) - {KMER} + 1) AS BIGINT) AS n_kmers,
   CAST(sum(length(seq) - {KMER}) AS BIGINT) AS n_edges, count(*) * {KMER} AS n_terminals FROM s GROUP BY 1""",
     "median_length": """SELECT source, l[CAST(floor(len(l) / 2) AS BIGINT) + 1] AS median FROM (
@@ -307,29 +348,6 @@ UNION ALL SELECT row_number() OVER (ORDER BY reverse(node), sym) - 1 + (SELECT c
     "chunks_with_overlap": f"""WITH {_S}, c AS (SELECT doc_id, seq, unnest(range(0, CAST(ceil((64 - {KMER}) / 13.0) AS BIGINT))) AS piece_no FROM s)
 SELECT doc_id, piece_no, substr(seq, piece_no * 13 + 1, CASE WHEN piece_no = 4 THEN 64 ELSE 24 END) AS seq, CAST(piece_no = 0 AS INT) AS first, CAST(piece_no = 4 AS INT) AS last FROM c""",
     "ntile_chunks": "SELECT o_orderkey, ntile(7) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS chunk FROM orders",
-    "dbg_edges": f"{_NUM} SELECT node, sym, first, last FROM x",
-    "dbg_edge_ids": f"{_NUM} SELECT eid, node, sym, CAST(instr('$ACGT', sym) - 1 + 8 * first AS INT) AS w FROM x",
-    "dbg_counts": f"{_BASE} SELECT node, sym, n FROM e",
-    "dbg_colours": f"{_BASE} SELECT node, sym, array_to_string(colours, ',') AS colours FROM e",
-    "meta_colours": f"""{_BASE}, m AS (SELECT colours, row_number() OVER (ORDER BY array_to_string(colours, ',')) + 9 AS id FROM (SELECT DISTINCT colours FROM e WHERE len(colours) > 1))
-SELECT node, sym, coalesce(m.id, e.colours[1]) AS meta_id FROM e LEFT JOIN m ON e.colours = m.colours""",
-    "colour_occurrence": f"{_BASE} SELECT colour, count(*) AS n FROM (SELECT unnest(colours) AS colour FROM e) GROUP BY 1",
-    "dbg_f_c": f"""{_BASE}, sy AS (SELECT unnest(['$', 'A', 'C', 'G', 'T']) AS sym)
-SELECT sym, (SELECT count(*) FROM e WHERE right(node, 1) < sy.sym) AS f, (SELECT count(DISTINCT node) FROM e WHERE right(node, 1) < sy.sym) AS c FROM sy""",
-    "dbg_size": f"{_BASE} SELECT count(*) AS n_edges, count(DISTINCT node) AS n_nodes FROM e",
-    "dbg_fwd": f"{_NUM} SELECT a.eid, b.eid AS fwd FROM x a LEFT JOIN x b ON a.sym <> '$' AND b.last = 1 AND b.node = substr(a.node, 2) || a.sym",
-    "dbg_bwd": f"{_NUM} SELECT a.eid, b.eid AS bwd FROM x a LEFT JOIN x b ON b.first = 1 AND b.sym <> '$' AND a.node = substr(b.node, 2) || b.sym",
-    "dbg_outgoing": f"{_NUM} SELECT n.node, 'G' AS sym, x.eid FROM (SELECT DISTINCT node FROM x) n LEFT JOIN x ON x.node = n.node AND x.sym = 'G'",
-    "dbg_node_ranges": f"{_NUM} SELECT node, min(eid) AS open, max(eid) AS close FROM x GROUP BY 1",
-    "dbg_labels": f"{_NUM} SELECT eid, replace(node || sym, '$', '') AS label FROM x",
-    "dbg_rank": f"{_NUM} SELECT eid, sym, count(*) OVER (PARTITION BY sym ORDER BY eid) AS rank FROM x",
-    "dbg_difference_class": f"""{_BASE} SELECT node, CASE WHEN row_number() OVER (PARTITION BY substr(node, 2) ORDER BY reverse(node)) = 1 THEN 'NEW' ELSE 'SAME_BLOCK' END AS class
-FROM (SELECT DISTINCT node FROM e)""",
-    "dbg_coverage": f"WITH {_S}, {_BOTH}, {_edge_rows()} SELECT node, substr(node, 2) || sym AS target, colour, count(*) AS n FROM rows_ WHERE sym <> '$' GROUP BY ALL",
-    "dbg_merge_order": f"{_BASE}, {_TERM.format(NODE)} SELECT node, sym, 1 AS is_terminal FROM t UNION ALL SELECT node, sym, 0 FROM e WHERE NOT contains(node, '$')",
-    "classify_left_join": f"""{_CLASSIFY}, qn AS (SELECT node, sym, row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid FROM q),
-rn AS (SELECT node, sym, row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid FROM r)
-SELECT node, sym, qn.eid, coalesce(rn.eid, -1) AS ref_eid FROM qn LEFT JOIN rn USING (node, sym)""",
-    "accumulate": f"{_CLASSIFY} SELECT node, sym, unnest(r.colours) AS colour, q.n AS depth FROM q JOIN r USING (node, sym)",
-    "accumulate_depths": f"{_CLASSIFY}, a AS (SELECT unnest(r.colours) AS colour, q.n AS depth FROM q JOIN r USING (node, sym)) SELECT colour, count(*) AS n_edges, CAST(sum(depth) AS BIGINT) AS depth FROM a GROUP BY 1",
+    **_graph_sql(NODE),
+    **{f"{name}_k{LONG_NODE}": text for name, text in _graph_sql(LONG_NODE).items()},
 }
