@@ -1,4 +1,7 @@
-"""Sequence, k-mer, graph and classification queries over ``documents``, each text read whole and encoded as 64 bases."""
+"""Sequence, k-mer, graph and classification queries over ``documents``.
+
+Each text is read whole and encoded as 64 bases; the queries that end in ``_text`` have a base for each of its characters.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +15,15 @@ from strandflow.functions.session import broadcast_if_small, table
 from strandflow.operators import classify as C
 from strandflow.operators import graph as G
 from strandflow.operators import kmers as K
+from strandflow.operators import sketch as S
 
 KMER, NODE, SUFFIX = 11, 6, 4
 #: Nodes of 6 bases saturate: 4^7 unpadded edges, reached at sf0.1. Every graph query also runs on nodes of this length.
 LONG_NODE = 21
 HEX = "0123456789abcdef"
+#: Characters of a text that stand for a base; any other is N.
+CHARACTERS = "\n" + "".join(map(chr, range(32, 127)))
+TEXT_K, TEXT_SCALED, TEXT_CHUNK = 21, 100, 240
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +38,17 @@ def _colours(docs: DataFrame) -> DataFrame:
     return docs.groupBy("source").agg(F.lit(1)).select("source", F.dense_rank().over(_by_source()).cast("bigint").alias("colour"))
 
 
+def text_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, seq) with a base, or N, for each character of the text."""
+    seq = F.regexp_replace(F.translate("text", CHARACTERS, "ACGT" * (len(CHARACTERS) // 4)), "[^ACGT]", "N")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", seq.alias("seq"))
+
+
+def _text_pieces(spark, d, k):
+    """Pieces with the windows of the texts: cutting windows takes time by the square of a row's length."""
+    return K.chunks(K.fragments(text_sequences(spark, d), k), TEXT_CHUNK, k - 1)
+
+
 def _by_source():
     from pyspark.sql import Window
 
@@ -125,6 +143,19 @@ def chunks_with_overlap(spark, d):
     return out.select("doc_id", "piece_no", "seq", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
 
 
+def kmer_count_text(spark, d):
+    return K.count_kmers(_text_pieces(spark, d, KMER), KMER)
+
+
+def sketch_text(spark, d):
+    return S.sketch(_text_pieces(spark, d, TEXT_K), TEXT_K, TEXT_SCALED, "doc_id")
+
+
+def chunks_text(spark, d):
+    out = K.chunks(K.fragments(text_sequences(spark, d), KMER), TEXT_CHUNK, KMER)
+    return out.select("doc_id", "piece_no", "seq", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+
+
 def ntile_chunks(spark, d):
     from pyspark.sql import Window
 
@@ -240,7 +271,7 @@ def accumulate_depths(spark, d, k=NODE):
 
 _FUNCTIONS = (
     revcomp, dna_ranks, bit_widths, split_non_acgt, kmer_count_both_strands, kmer_count_packed, kmer_count_canonical, kmer_colour_sets, kmer_overview, suffix_histogram,
-    suffix_plan_cumulative, kmers_by_suffix, terminals, terminals_dense, size_statistics, median_length, chunks_with_overlap, ntile_chunks, dbg_edges, dbg_edge_ids,
+    suffix_plan_cumulative, kmers_by_suffix, terminals, terminals_dense, size_statistics, median_length, chunks_with_overlap, kmer_count_text, sketch_text, chunks_text, ntile_chunks, dbg_edges, dbg_edge_ids,
     dbg_counts, dbg_colours, meta_colours, colour_occurrence, dbg_f_c, dbg_size, dbg_fwd, dbg_bwd, dbg_outgoing, dbg_find_between, dbg_append, dbg_node_ranges, dbg_labels, dbg_rank,
     dbg_difference_class, dbg_coverage, dbg_merge_order, classify_left_join, accumulate, accumulate_depths,
 )
@@ -258,6 +289,12 @@ _RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 _BOTH = f"both_ AS (SELECT doc_id, source, lang, colour, unnest([seq, {_RC.format('seq')}]) AS seq FROM s)"
 
 
+_QUOTED = CHARACTERS.replace("'", "''")
+_TEXT = f"""ts AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(translate(text, '{_QUOTED}', '{"ACGT" * (len(CHARACTERS) // 4)}'), '[^ACGT]', 'N', 'g'), 'N')) AS seq FROM documents WHERE text IS NOT NULL)"""
+_STEP = TEXT_CHUNK - KMER
+
+
 def _edge_rows(k: int, source: str = "both_", name: str = "rows_") -> str:
     pad = "$" * k
     return f"""{name}0 AS (SELECT *, unnest(range(1, length(seq) + 2)) AS i FROM {source}),
@@ -347,6 +384,13 @@ SELECT source, suffix, n, until, until - n AS "from" FROM u""",
   SELECT source, list_sort(list(length(text))) AS l FROM documents WHERE text IS NOT NULL GROUP BY 1)""",
     "chunks_with_overlap": f"""WITH {_S}, c AS (SELECT doc_id, seq, unnest(range(0, CAST(ceil((64 - {KMER}) / 13.0) AS BIGINT))) AS piece_no FROM s)
 SELECT doc_id, piece_no, substr(seq, piece_no * 13 + 1, CASE WHEN piece_no = 4 THEN 64 ELSE 24 END) AS seq, CAST(piece_no = 0 AS INT) AS first, CAST(piece_no = 4 AS INT) AS last FROM c""",
+    "kmer_count_text": f"WITH {_TEXT}, tb AS (SELECT NULL AS source, unnest([seq, {_RC.format('seq')}]) AS seq FROM ts), {_KM.format('tb')} SELECT kmer, count(*) AS n FROM km GROUP BY 1",
+    "sketch_text": f"""WITH {_TEXT}, w AS (SELECT doc_id, substr(seq, i, {TEXT_K}) AS kmer FROM (SELECT doc_id, seq, unnest(range(1, length(seq) - {TEXT_K} + 2)) AS i FROM ts))
+SELECT DISTINCT doc_id, hash FROM (SELECT doc_id, substr(md5(least(kmer, {_RC.format('kmer')})), 1, 16) AS hash FROM w) WHERE hash < '{S.max_hash(TEXT_SCALED)}'""",
+    "chunks_text": f"""WITH {_TEXT}, n AS (SELECT doc_id, seq, CAST(greatest(ceil((length(seq) - {KMER}) / {_STEP}.0), 1) AS BIGINT) AS pieces FROM ts WHERE length(seq) >= {KMER}),
+c AS (SELECT *, unnest(range(0, pieces)) AS piece_no FROM n)
+SELECT doc_id, piece_no, CASE WHEN piece_no = pieces - 1 THEN substr(seq, piece_no * {_STEP} + 1) ELSE substr(seq, piece_no * {_STEP} + 1, {TEXT_CHUNK}) END AS seq,
+  CAST(piece_no = 0 AS INT) AS first, CAST(piece_no = pieces - 1 AS INT) AS last FROM c""",
     "ntile_chunks": "SELECT o_orderkey, ntile(7) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS chunk FROM orders",
     **_graph_sql(NODE),
     **{f"{name}_k{LONG_NODE}": text for name, text in _graph_sql(LONG_NODE).items()},
