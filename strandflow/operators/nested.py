@@ -160,7 +160,7 @@ def flat_table(nodes: DataFrame, node_type: str, path: str, fields: list[str]) -
     """
     leaves = nodes.where(F.col("node_type").isNull() & F.col("path").isin([f"{path}/{f}" for f in fields]))
     values = leaves.groupBy("record_id", "payload_hash", F.col("parent_pre").alias("pre")).agg(
-        *[F.max(F.when(F.col("path") == f"{path}/{f}", F.col("value"))).alias(f) for f in fields]
+        *[F.when(F.min(F.when(F.col("path") == f"{path}/{f}", F.col("pre"))) == F.max(F.when(F.col("path") == f"{path}/{f}", F.col("pre"))), F.max(F.when(F.col("path") == f"{path}/{f}", F.col("value")))).alias(f) for f in fields]
     )
     elements = nodes.where(F.col("node_type") == node_type).select("record_id", "payload_hash", "pre", "post", "position", "linked_position")
     return elements.join(values, ["record_id", "payload_hash", "pre"], "left")
