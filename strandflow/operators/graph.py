@@ -120,10 +120,37 @@ def labels(edges: DataFrame) -> DataFrame:
     return edges.select("eid", F.replace(F.concat("node", "sym"), F.lit("$"), F.lit("")).alias("label"))
 
 
-def rank_symbol(edges: DataFrame) -> DataFrame:
-    """(eid, rank): how many edges with the same symbol come up to this one, per symbol from id-range totals."""
-    w = Window.partitionBy("sym").orderBy("eid").rowsBetween(Window.unboundedPreceding, 0)
-    return edges.select("eid", "sym", F.count("*").over(w).alias("rank"))
+def _running(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (eid, sym, _w) with ``rank``: the sum of ``_w`` per symbol up to and at an id, from totals per id range."""
+    rows = rows.withColumn("_g", F.floor(F.col("eid") / width))
+    ranges = Window.partitionBy("sym").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("sym", "_g").agg(F.sum("_w").alias("_n"))  # at most five rows per range
+    before = totals.select("sym", "_g", F.coalesce(F.sum("_n").over(ranges), F.lit(0)).alias("_b"))
+    inside = Window.partitionBy("sym", "_g").orderBy("eid").rangeBetween(Window.unboundedPreceding, 0)
+    met = rows.withColumn("_r", F.sum("_w").over(inside)).join(before, ["sym", "_g"])
+    return met.select("eid", "sym", "_w", (F.col("_r") + F.col("_b")).alias("rank"))
+
+
+def rank_symbol(edges: DataFrame, width: int = 100_000) -> DataFrame:
+    """(eid, sym, rank): how many edges with the same symbol come up to this one, from totals per symbol and id range of ``width``."""
+    return _running(edges.select("eid", "sym", F.lit(1).alias("_w")), width).drop("_w")
+
+
+def select_symbol(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For (sym, rank) the id of the edge with that rank, null where there is none."""
+    return wanted.join(rank_symbol(edges), ["sym", "rank"], "left")
+
+
+def neighbours(edges: DataFrame, wanted: DataFrame, width: int = 100_000) -> DataFrame:
+    """For (eid, sym) the last edge with that symbol at or before the id (``pred``) and the first at or after it (``succ``), else null."""
+    own = edges.select("eid", "sym")
+    marks = wanted.select("eid", "sym").distinct()
+    at = _running(own.withColumn("_w", F.lit(1)).unionByName(marks.withColumn("_w", F.lit(0))), width).where("_w = 0").drop("_w")
+    at = at.join(own.withColumn("_hit", F.lit(1)), ["eid", "sym"], "left").withColumn("_next", F.col("rank") + 1 - F.coalesce("_hit", F.lit(0)))
+    ranked = rank_symbol(edges, width)
+    before = ranked.select("sym", "rank", F.col("eid").alias("pred"))
+    after = ranked.select("sym", F.col("rank").alias("_next"), F.col("eid").alias("succ"))
+    return at.join(before, ["sym", "rank"], "left").join(after, ["sym", "_next"], "left").select("eid", "sym", "pred", "succ")
 
 
 def difference_class(edges: DataFrame, k: int) -> DataFrame:
