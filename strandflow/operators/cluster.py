@@ -2,65 +2,114 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.functions.session import materialise
+from strandflow.functions.session import materialise, release
 from strandflow.operators.order import number_rows
-
-MAX_ROUNDS = 100
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """(member, root) of every vertex of (a, b): the least vertex of its component, by alternating star contraction.
-
-    Each round links every vertex's neighbours to the least of them, first the greater ones, then the smaller; it ends
-    when no edge changes. A hub's neighbourhood is aggregated map-side and never collected.
+from strandflow.operators.skew import lookup
+
+#: Edges up to this number are finished in one task.
+EDGES_AT_ONCE = 500_000
+SEPARATOR = "\u0001"
+
+
+def _least_members(batches):
+    """(member, root) of all edges of one task: least labels spread over the edges, chains of labels shortened at once."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    edges = pa.Table.from_batches(parts)
+    both = pa.chunked_array([*edges.column(0).chunks, *edges.column(1).chunks], pa.string())
+    names = both.unique()
+    names = names.take(pc.sort_indices(names))
+    codes = pc.index_in(both, names).to_numpy()
+    u, v = codes[: len(edges)], codes[len(edges) :]
+    label = np.arange(len(names))
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            break
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not (label[label] == label).all():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label))], names=["member", "root"])
+
+
+def connected(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """(member, root) of every vertex of (a STRING, b STRING): the least vertex of its component, by contraction.
+
+    On every level a vertex is replaced by the neighbour (or itself) with the least hash, seeded anew per level, until the
+    edges left fit one task. No order of names is bad for it: the levels grow with the logarithm of the edges (a chain
+    loses half of its vertices per level), and since the greatest vertex of a component is never chosen, they end. A
+    hub's neighbours are aggregated map-side; its label reaches them through :func:`skew.lookup`.
     """
-    pairs = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = materialise(pairs, "connected-0")
-    before = None
-    for i in range(1, MAX_ROUNDS):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"connected-{i}")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            roots = pairs.select(F.col("v").alias("member")).distinct().withColumn("root", F.col("member"))
-            return pairs.select(F.col("u").alias("member"), F.col("v").alias("root")).unionByName(roots)
-        before = now
-    raise RuntimeError(f"components not found within {MAX_ROUNDS} rounds")
+    pairs = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    level, maps = materialise(pairs, "connected"), []
+    while level.count() > at_once:
+        h = lambda c, seed=len(maps): F.struct(F.xxhash64(F.lit(seed), c).alias("h"), F.col(c).alias("x"))
+        both = level.unionByName(level.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min(h("v")).alias("m"))
+        chosen = materialise(near.select("u", F.least("m", h("u"))["x"].alias("p")), "connected-chosen")
+        moved = materialise(lookup(level, "u", chosen).select("v", F.col("p").alias("pu")), "connected-moved")
+        moved = lookup(moved, "v", chosen.select(F.col("u").alias("v"), "p")).where("pu <> p")
+        after = materialise(moved.select(F.least("pu", "p").alias("u"), F.greatest("pu", "p").alias("v")).distinct(), "connected")
+        release(level)
+        level = after
+        maps.append(chosen.select(F.col("u").alias("member"), F.col("p").alias("root")))
+    labels = level.repartition(1).mapInArrow(_least_members, "member string, root string")
+    if not maps:
+        return labels
+    for chosen in reversed(maps):
+        labels = materialise(labels.select(F.col("member").alias("root"), F.col("root").alias("_top")), "connected-labels")
+        labels = lookup(chosen, "root", labels).select("member", F.coalesce("_top", "root").alias("root"))
+    labels = materialise(labels, "connected-labels")
+    least = labels.groupBy("root").agg(F.min("member").alias("_least"))
+    return lookup(labels, "root", least).select("member", F.col("_least").alias("root"))
 
 
 def clusters_at(edges: DataFrame, members: DataFrame, measure: str, threshold: float) -> DataFrame:
     """(accession, root, size) at ``measure >= threshold``; every member comes out, alone if need be."""
-    strong = edges.where(F.col(measure) >= threshold).select("a", "b")
-    groups = connected(strong).withColumnRenamed("member", "accession")
-    everyone = members.select("accession").where("accession is not null").distinct()
-    out = everyone.join(groups, "accession", "left").withColumn("root", F.coalesce("root", "accession"))
-    sizes = out.groupBy("root").agg(F.count("*").alias("size"))
-    return out.join(sizes, "root").select("accession", "root", "size")
+    return clusters_at_all(edges, members, measure, [threshold]).drop("tag")
+
+
+def clusters_at_all(edges: DataFrame, members: DataFrame, measure: str, thresholds: list[float]) -> DataFrame:
+    """(tag, accession, root, size) at every threshold. A finer clustering lies inside the coarser ones, so all of them are one
+    graph whose vertices are (tag, accession): one contraction serves all thresholds."""
+    tags = [(t, f"ani{t:g}") for t in thresholds]
+    holds = F.filter(F.array(*[F.when(F.col(measure) >= t, F.lit(tag)) for t, tag in tags]), lambda x: x.isNotNull())
+    named = edges.select("a", "b", F.explode(holds).alias("tag"))
+    both = connected(named.select(*[F.concat("tag", F.lit(SEPARATOR), c).alias(c) for c in "ab"]))
+    part = lambda c, i: F.get(F.split(c, SEPARATOR, 2), F.lit(i))
+    groups = both.select(part("member", 0).alias("tag"), part("member", 1).alias("accession"), part("root", 1).alias("root"))
+    everyone = members.select("accession").where("accession is not null").distinct().withColumn("tag", F.explode(F.array(*[F.lit(tag) for _, tag in tags])))
+    out = materialise(everyone.join(groups, ["tag", "accession"], "left").withColumn("root", F.coalesce("root", "accession")).withColumn("_k", F.concat("tag", F.lit(SEPARATOR), "root")), "clusters")
+    sizes = out.groupBy("_k").agg(F.count("*").alias("size"))
+    return lookup(out, "_k", sizes).select("tag", "accession", "root", "size")
 
 
 def numbered(clusters: DataFrame) -> DataFrame:
-    """(accession, cluster_id): consecutive ids from 0, clusters of several first, then singletons, each in order of their root."""
-    roots = clusters.select("root", (F.col("size") == 1).alias("single")).distinct()
-    ids = number_rows(roots, [F.col("single").cast("int"), F.col("root")], "cluster_id", label="cluster-ids")
-    return clusters.join(ids.select("root", "cluster_id"), "root").select("accession", "cluster_id")
+    """(accession, cluster_id), with the tag if there is one: consecutive ids from 0 per tag, clusters of several first, then
+    singletons, each in order of their root."""
+    by = [c for c in ("tag",) if c in clusters.columns]
+    clusters = clusters.withColumn("_k", F.concat_ws(SEPARATOR, *by, "root"))
+    roots = clusters.where("accession = root").select(*by, "root", "_k", (F.col("size") == 1).cast("int").alias("single"))
+    ids = number_rows(roots, [F.col(c) for c in (*by, "single", "root")], "_id", label="cluster-ids")
+    if by:
+        first = F.broadcast(ids.groupBy(*by).agg(F.min("_id").alias("_first")))  # one row per tag
+        ids = ids.join(first, by).withColumn("_id", F.col("_id") - F.col("_first"))
+    return lookup(clusters, "_k", ids.select("_k", F.col("_id").alias("cluster_id"))).select(*by, "accession", "cluster_id")
 
 
 def refine(edges: DataFrame, members: DataFrame, measure: str, thresholds: list[float], done: list[float] = ()) -> DataFrame:
-    """(tag, accession, cluster_id) for every threshold not done yet, in ascending order."""
-    out = None
-    for t in sorted(set(thresholds) - set(done)):
-        part = numbered(clusters_at(edges, members, measure, t)).withColumn("tag", F.lit(f"ani{t:g}"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """(tag, accession, cluster_id) for every threshold not done yet."""
+    todo = sorted(set(thresholds) - set(done))
+    if not todo:
         raise ValueError("no new threshold")
-    return out.select("tag", "accession", "cluster_id")
+    return numbered(clusters_at_all(edges, members, measure, todo))
 
 
 def new_singletons(edges: DataFrame, measure: str, threshold: float) -> DataFrame:
