@@ -96,15 +96,24 @@ def build_index(records: DataFrame) -> dict[str, DataFrame]:
     return {"seed": seed, "annotation": rows.select("seed_name", "x.database", "x.label").distinct()}
 
 
-def add_missing(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows and those new rows whose key isn't stored yet."""
-    return stored.unionByName(new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
+def _one_per_key(new: DataFrame, keys: list[str], columns: list[str], order: str | None) -> DataFrame:
+    """The last row per key by ``order``; without one the greatest by its other columns, so that the result is defined."""
+    others = [c for c in columns if c not in keys]
+    if not others:
+        return new.select(*keys).distinct()
+    last = F.max(F.struct(*([F.col(order).alias("_o")] if order else []), *others)).alias("_last")
+    return new.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """New values over stored ones, row by row of ``key``."""
+def add_missing(stored: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Stored rows and those new rows whose key isn't stored yet; of several new rows of a key the last by ``order``."""
+    return stored.unionByName(_one_per_key(new, keys, stored.columns, order).join(stored.select(*keys), keys, "left_anti").select(*stored.columns))
+
+
+def upsert(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """New values over stored ones, row by row of ``key``; of several new rows of a key the last by ``order`` counts."""
     others = [c for c in stored.columns if c != key]
-    renamed = new.dropDuplicates([key]).select(key, *[F.col(c).alias(f"_{c}") for c in others], F.lit(1).alias("_new"))
+    renamed = _one_per_key(new, [key], stored.columns, order).select(key, *[F.col(c).alias(f"_{c}") for c in others], F.lit(1).alias("_new"))
     joined = stored.join(renamed, key, "full")
     return joined.select(key, *[F.when(F.col("_new") == 1, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in others])
 

@@ -50,12 +50,6 @@ def settle(edges: DataFrame, k: int, flags: bool = False) -> DataFrame:
     return out.drop("_block")
 
 
-def prune_ends(edges: DataFrame) -> DataFrame:
-    """Without the ``$`` edge of nodes that have another one."""
-    real = F.max(F.col("sym") != "$").over(Window.partitionBy("node"))
-    return edges.withColumn("_real", real).where((F.col("sym") != "$") | ~F.col("_real")).drop("_real")
-
-
 def with_flags(edges: DataFrame, k: int) -> DataFrame:
     """``first``: first edge with its symbol among the nodes that share the last k - 1 symbols; ``last``: last of its node."""
     block = Window.partitionBy(F.substring("node", 2, k - 1), "sym").orderBy(F.reverse("node"))

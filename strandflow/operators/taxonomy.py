@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import names
-from strandflow.functions.session import broadcast_if_small
+from strandflow.functions.session import broadcast_if_small, materialise
 
-MAX_DEPTH = 40
 BROADCAST_TAXA = 1_000_000
 
 
@@ -34,17 +33,27 @@ def require_all(resolved: DataFrame, value: str) -> DataFrame:
 
 
 def lineages(taxa: DataFrame) -> DataFrame:
-    """(taxid, steps, ancestor, ancestor_rank) of every entry, itself at step 0: one join per level of the tree."""
+    """(taxid, steps, ancestor, ancestor_rank) of every entry, itself at step 0, whatever the tree's depth.
+
+    Jumps of 1, 2, 4, ... steps: each round joins the ancestors found so far with the jump of their own length, so a tree of
+    depth d takes log2(d) rounds. A root is its own parent or has none or an unknown one; a cycle raises.
+    """
     nodes = taxa.select("taxid", "parent_taxid", "tax_rank")
-    tree = broadcast_if_small(nodes.select(F.col("taxid").alias("_t"), F.col("parent_taxid").alias("_p"), F.col("tax_rank").alias("_r")), BROADCAST_TAXA)
-    level = nodes.select("taxid", F.lit(0).alias("steps"), F.col("taxid").alias("ancestor"), F.col("tax_rank").alias("ancestor_rank"), F.col("parent_taxid").alias("up"))
-    out = level
-    for step in range(1, MAX_DEPTH):
-        level = level.where("up is not null and up <> ancestor").join(tree, F.col("up") == F.col("_t")).select("taxid", F.lit(step).alias("steps"), F.col("_t").alias("ancestor"), F.col("_r").alias("ancestor_rank"), F.col("_p").alias("up"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.drop("up")
+    known = nodes.select(F.col("taxid").alias("ancestor"))
+    up = nodes.where("parent_taxid is not null and parent_taxid <> taxid").select("taxid", F.col("parent_taxid").alias("ancestor")).join(known, "ancestor", "left_semi")
+    jump, n = materialise(up.select("taxid", "ancestor"), "lineage-jumps"), nodes.count()
+    found, length = nodes.select("taxid", F.lit(0).alias("steps"), F.col("taxid").alias("ancestor")), 1
+    while not jump.isEmpty():
+        if length > n:
+            raise ValueError("taxonomy: an entry is its own ancestor")
+        via = jump.select(F.col("taxid").alias("ancestor"), F.col("ancestor").alias("_next"))
+        small = broadcast_if_small(via, BROADCAST_TAXA)
+        further = found.join(small, "ancestor").select("taxid", (F.col("steps") + length).alias("steps"), F.col("_next").alias("ancestor"))
+        found = materialise(found.unionByName(further), "lineages")
+        jump = materialise(jump.join(small, "ancestor").select("taxid", F.col("_next").alias("ancestor")), "lineage-jumps")
+        length *= 2
+    ranks = nodes.select(F.col("taxid").alias("ancestor"), F.col("tax_rank").alias("ancestor_rank"))
+    return found.join(broadcast_if_small(ranks, BROADCAST_TAXA), "ancestor").select("taxid", "steps", "ancestor", "ancestor_rank")
 
 
 def ancestors_at(taxa: DataFrame, rank: str) -> DataFrame:
