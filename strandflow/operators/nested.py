@@ -12,7 +12,9 @@ elements keep their position but give no row; repeated rows give repeated nodes,
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -30,11 +32,73 @@ REPORT_TYPES = {
 REPORT_LINKS = {"features": (("sequence", "contig"), ("sequences",), "id")}
 
 NODE_SCHEMA = (
-    "record_id bigint, payload_hash bigint, node_type string, path string, pre int, post int, parent_pre int, depth int, "
+    "record_id bigint, payload_hash bigint, node_type string, step string, pre int, post int, parent_pre int, depth int, "
     "position int, linked_position int, value string"
 )
 
 
+_SPACE = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"true|false|null|-?(?:Infinity|(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|NaN")
+
+
+def _past_space(text: str, i: int) -> int:
+    return _SPACE.match(text, i).end()
+
+
+def read_json(text: str):
+    """The value of a JSON text of any depth: a reader with its own stack, for what the library's recursion can't take."""
+    out: list = []
+    stack: list[tuple] = [(out, None)]  # open containers, with the key that waits for its value
+    i = _past_space(text, 0)
+    while True:
+        value, opened = None, False
+        c = text[i : i + 1]
+        if c and c in "{[":
+            value, opened = ({} if c == "{" else []), True
+            i += 1
+        elif c == '"':
+            value, i = scanstring(text, i + 1, True)
+        else:
+            m = _SCALAR.match(text, i)
+            if m is None:
+                raise ValueError(f"no JSON value at {i}")
+            value, i = json.loads(m[0]), m.end()
+        holder, key = stack[-1]
+        if isinstance(holder, dict):
+            holder[key] = value
+        else:
+            holder.append(value)
+        if opened:
+            stack.append((value, None))
+        i = _past_space(text, i)
+        # after a value, or at the beginning of a container: what may follow
+        while len(stack) > 1:
+            holder = stack[-1][0]
+            end = "}" if isinstance(holder, dict) else "]"
+            if text[i : i + 1] == end:
+                stack.pop()
+                i, opened = _past_space(text, i + 1), False
+                continue
+            if not opened:
+                if text[i : i + 1] != ",":
+                    raise ValueError(f"no comma at {i}")
+                i = _past_space(text, i + 1)
+            if isinstance(holder, dict):
+                if text[i : i + 1] != '"':
+                    raise ValueError(f"no key at {i}")
+                key, i = scanstring(text, i + 1, True)
+                i = _past_space(text, i)
+                if text[i : i + 1] != ":":
+                    raise ValueError(f"no colon at {i}")
+                stack[-1] = (holder, key)
+                i = _past_space(text, i + 1)
+            break
+        else:
+            if i != len(text):
+                raise ValueError(f"more text at {i}")
+            return out[0]
+
+
 def unwrap(text: str | None):
     """The report of a payload, or None where it can't be read."""
     if text is None:
@@ -42,9 +106,13 @@ def unwrap(text: str | None):
     value = text
     while True:
         if isinstance(value, str):
+            plain = value.strip("\ufeff \t\r\n")
             try:
-                value = json.loads(value.strip("﻿ \t\r\n"))
-            except (ValueError, RecursionError):
+                try:
+                    value = json.loads(plain)
+                except RecursionError:
+                    value = read_json(plain)
+            except ValueError:
                 return None
         elif isinstance(value, list) and len(value) == 1:
             value = value[0]
@@ -57,10 +125,11 @@ def as_list(value) -> list:
 
 
 def walk(root: dict, types: dict[tuple, str], links: dict, keep_untyped: bool = True) -> Iterator[tuple]:
-    """(type, path, pre, post, parent_pre, depth, position, linked_position, value) of every node, children after parents.
+    """(type, step, pre, post, parent_pre, depth, position, linked_position, value) of every node, children after parents.
 
-    Iterative, so depth is bounded by memory only. Objects and arrays are inner nodes; a typed array element is a node
-    of its type, and the array itself has no node of its own.
+    ``step`` is the key under which the node hangs, ``*`` for an element of an array in an array. Iterative and linear in the
+    nodes, so depth is bounded by memory only. Objects and arrays are inner nodes; a typed array element is a node of its
+    type, and the array itself has no node of its own. Without ``keep_untyped`` nothing is entered that can't hold a type.
     """
     places: dict[tuple, dict[str, int]] = {}
     for _, array, id_field in links.values():
@@ -71,11 +140,12 @@ def walk(root: dict, types: dict[tuple, str], links: dict, keep_untyped: bool =
         for i, x in enumerate(as_list(at)):
             if isinstance(x, dict) and x.get(id_field) is not None:
                 index.setdefault(str(x[id_field]), i)
+    leads = {p[:i] for p in types for i in range(len(p) + 1)}  # paths that are, or lead to, a type's; None is any other
     out: list[list] = []
     clock = 0
-    stack: list[tuple] = [("in", root, (), -1, 0, -1)]
+    stack: list[tuple] = [("in", root, (), "", -1, 0, -1)]
     while stack:
-        what, value, path, parent, depth, position = stack.pop()
+        what, value, path, step, parent, depth, position = stack.pop()
         if what == "out":
             out[value][3] = clock
             clock += 1
@@ -92,22 +162,24 @@ def walk(root: dict, types: dict[tuple, str], links: dict, keep_untyped: bool =
         if kind or keep_untyped:
             me = len(out)
             leaf = None if isinstance(value, (dict, list)) else value if isinstance(value, str) else json.dumps(value)
-            out.append([kind, path, clock, -1, out[parent][2] if parent >= 0 else None, depth, position, linked, leaf])
+            out.append([kind, step, clock, -1, out[parent][2] if parent >= 0 else None, depth, position, linked, leaf])
             clock += 1
-            stack.append(("out", me, path, parent, depth, position))
+            stack.append(("out", me, path, step, parent, depth, position))
         children = []
         if isinstance(value, dict):
             for k, v in value.items():
-                p = (*path, k)
+                p = (*path, k) if path is not None and (*path, k) in leads else None
+                if v is None or (p is None and not keep_untyped):
+                    continue
                 if p in types or isinstance(v, list):
-                    children += [("in", x, p, me, depth + 1, i) for i, x in enumerate(as_list(v)) if x is not None]
-                elif v is not None and (keep_untyped or isinstance(v, dict)):
-                    children.append(("in", v, p, me, depth + 1, -1))
-        elif isinstance(value, list):
-            children = [("in", x, (*path, "*"), me, depth + 1, i) for i, x in enumerate(value) if x is not None]
+                    children += [("in", x, p, k, me, depth + 1, i) for i, x in enumerate(as_list(v)) if x is not None]
+                elif keep_untyped or isinstance(v, dict):
+                    children.append(("in", v, p, k, me, depth + 1, -1))
+        elif isinstance(value, list) and keep_untyped:
+            children = [("in", x, None, "*", me, depth + 1, i) for i, x in enumerate(value) if x is not None]
         stack.extend(reversed(children))
-    for kind, path, pre, post, up, depth, position, linked, leaf in out:
-        yield kind, "/".join(path), pre, post, up, depth, position, linked, leaf
+    for node in out:
+        yield tuple(node)
 
 
 def label_nodes(
@@ -118,7 +190,6 @@ def label_nodes(
     rows_at_once = 20_000
 
     def run(batches):
-        fields = None
         for batch in batches:
             ids, hashes, texts = batch.column(0), batch.column(1), batch.column(2)
             out: list[tuple] = []
@@ -133,7 +204,6 @@ def label_nodes(
                     out = []
             if out:
                 yield _batch(out)
-        del fields
 
     cols = df.select(F.col(record_id).cast("bigint").alias("record_id"), F.xxhash64(payload).alias("payload_hash"), F.col(payload).cast("string").alias("payload"))
     return cols.where("payload is not null").mapInArrow(run, schema)
@@ -152,15 +222,15 @@ def node_tables(nodes: DataFrame, types: dict[tuple, str] = REPORT_TYPES) -> dic
     return {t: nodes.where(F.col("node_type") == t).drop("node_type") for t in types.values()}
 
 
-def flat_table(nodes: DataFrame, node_type: str, path: str, fields: list[str]) -> DataFrame:
+def flat_table(nodes: DataFrame, node_type: str, fields: list[str]) -> DataFrame:
     """Elements of one type with their own values as columns, beside their labels and positions.
 
-    ``path`` is the elements' path in the node rows; a field that an element lacks, or that holds more than one value, is
-    null. ``nodes`` must hold the untyped ones too.
+    A field that an element lacks, or that holds more than one value, is null. ``nodes`` must hold the untyped ones too.
     """
-    leaves = nodes.where(F.col("node_type").isNull() & F.col("path").isin([f"{path}/{f}" for f in fields]))
+    leaves = nodes.where(F.col("node_type").isNull() & F.col("step").isin(fields) & F.col("value").isNotNull())
+    one = lambda f, c: F.when(F.col("step") == f, F.col(c))
     values = leaves.groupBy("record_id", "payload_hash", F.col("parent_pre").alias("pre")).agg(
-        *[F.when(F.min(F.when(F.col("path") == f"{path}/{f}", F.col("pre"))) == F.max(F.when(F.col("path") == f"{path}/{f}", F.col("pre"))), F.max(F.when(F.col("path") == f"{path}/{f}", F.col("value")))).alias(f) for f in fields]
+        *[F.when(F.min(one(f, "pre")) == F.max(one(f, "pre")), F.max(one(f, "value"))).alias(f) for f in fields]
     )
     elements = nodes.where(F.col("node_type") == node_type).select("record_id", "payload_hash", "pre", "post", "position", "linked_position")
     return elements.join(values, ["record_id", "payload_hash", "pre"], "left")
@@ -186,7 +256,7 @@ def contained(nodes: DataFrame, ancestors: dict[str, list[str]]) -> DataFrame:
 
 def report_elements(df: DataFrame, record_id: str = "report_id", payload: str = "payload") -> DataFrame:
     """(report_id, child, sequence_no, feature_no, item_no, sub_no) of every element of an annotation report."""
-    nodes = label_nodes(df, record_id, payload, keep_untyped=False).drop("value", "path", "depth", "parent_pre")
+    nodes = label_nodes(df, record_id, payload, keep_untyped=False).drop("value", "step", "depth", "parent_pre")
     linked = contained(nodes, {"features": ["position", "linked_position"], "pfams": ["position"]})
     kind, none = F.col("node_type"), F.lit(-1)
     return linked.select(

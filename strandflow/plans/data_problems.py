@@ -25,11 +25,14 @@ def p3_orphan_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(*_references(spark, d))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "assembly").select(F.lit("assembly").alias("table_name"), F.col("sylph_species").alias("key_value")).unionByName(
+def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "assembly").select(F.lit("assembly").alias("table_name"), F.col("sylph_species").alias("key_value")).unionByName(
         table(spark, d, "genome_manifest").select(F.lit("genome_manifest").alias("table_name"), F.col("taxonomy").alias("key_value"))
     )
-    return eager.heavy_values(rows, HEAVY_PERCENT)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return eager.heavy_values(keyed_rows(spark, d), HEAVY_PERCENT)
 
 
 def p4_species_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +81,7 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
     """Features as a flat table: position, sequence and own values; repeated rows of a report count once."""
     nodes = nested.label_nodes(table(spark, d, "bakta_json"), "report_id", "payload")
-    flat = nested.flat_table(nodes, "features", "features", ["type", "start", "stop", "strand", "locus", "product"])
+    flat = nested.flat_table(nodes, "features", ["type", "start", "stop", "strand", "locus", "product"])
     return flat.select(
         F.col("record_id").alias("report_id"), F.col("position").alias("feature_no"), F.col("linked_position").alias("sequence_no"), "type",
         F.col("start").try_cast("bigint").alias("start"), F.col("stop").try_cast("bigint").alias("stop"), "strand", "locus", "product",

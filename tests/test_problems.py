@@ -17,8 +17,10 @@ def day(n):
     return None if n is None else T0 + timedelta(days=n)
 
 
-@pytest.mark.parametrize("share", [0.002, 0.2])
-def test_orphans(spark, share, monkeypatch):
+@pytest.mark.parametrize(("hot", "broadcast"), [(1, 0), (100, 0), (10**9, 0), (1000, 10**6)])
+def test_orphans(spark, hot, broadcast, monkeypatch):
+    monkeypatch.setattr(orphans, "hot_from", lambda df, rows: hot)
+    monkeypatch.setattr(orphans, "BROADCAST_PERIODS", broadcast)
     rng = random.Random(1)
     targets = [(f"t{i}", day(s), day(s + rng.randrange(5, 40)) if rng.random() < 0.5 else None) for i in range(30) for s in rng.sample(range(100), 2)]
     refs = [(f"r{i}", rng.choice(["hot", "hot", "t1", f" x/t{rng.randrange(40)}\t", "a\\t2", "", "  ", None, "gone", "T1"]), day(rng.randrange(120)) if rng.random() < 0.95 else None) for i in range(1500)]
@@ -46,8 +48,8 @@ def test_orphans(spark, share, monkeypatch):
                 period = at.strftime("%Y-%m") if at else None
                 want.add(("tab", "f", k, period, x))
                 counts[period, x] += 1
-    assert {tuple(x) for x in orphans.find_orphans(rows, states, share).collect()} == want
-    assert {(x.period, x.kind): x.n_rows for x in orphans.orphan_counts(rows, states, share).collect()} == dict(counts)
+    assert {tuple(x) for x in orphans.find_orphans(rows, states).collect()} == want
+    assert {(x.period, x.kind): x.n_rows for x in orphans.orphan_counts(rows, states).collect()} == dict(counts)
     assert orphans.find_orphans(rows.limit(0), states).count() == 0
     assert {x.kind for x in orphans.find_orphans(rows, states.limit(0)).collect()} == {"missing"}
 
@@ -113,11 +115,15 @@ def test_nested(spark):
             body = dict(reversed(body.items()))
         text = json.dumps(body)
         payloads.append((n, rng.choice([text, text, json.dumps(text), f"[{text}]", json.dumps([json.dumps(body)]), text[:-3], "﻿" + text])))
+    deep = 60_000
+    payloads += [(106, '{"a":' * deep + '{"sequences": [{"id": 1}]}' + "}" * deep), (107, '{"sequences": [{"id": "c1"}, {"x": ' + "[" * deep + "]" * deep + "}]}")]
     payloads += [(100, None), (101, ""), (102, "[]"), (103, "7"), (104, "[" * 5000 + "]" * 5000), (105, '{"features": "alone"}'), payloads[0], (0, '{"sequences": [{"id": 1}, {"id": 2}]}')]
     df = spark.createDataFrame(payloads, "report_id long, payload string").withColumn("position", F.lit(1))
     want = set().union(*(brute_elements(*p) for p in payloads))
     got = [tuple(r) for r in nested.report_elements(df).collect()]
     assert set(got) == want and len(got) == len(want)
+    counts = {r.record_id: r["count"] for r in nested.label_nodes(df, "report_id", "payload").where("record_id in (106, 107)").groupBy("record_id").count().collect()}
+    assert counts == {106: deep + 3, 107: deep + 3}
     nodes = nested.label_nodes(df, "report_id", "payload").where("record_id = 1").collect()
     for x in nodes:
         inside = [y for y in nodes if x.pre < y.pre and y.post < x.post]
@@ -126,3 +132,12 @@ def test_nested(spark):
     assert len({n for x in nodes for n in (x.pre, x.post)}) == 2 * len(nodes)
     assert nested.report_elements(df.limit(0)).count() == 0
     assert set(nested.node_tables(nested.label_nodes(df, "report_id", "payload"))) == set(nested.REPORT_TYPES.values())
+
+
+def test_json_reader():
+    good = ['{"a": [1, -2.5e3, true, false, null, "x\\u00e9\\n", {}, [], {"b": {}}]}', " [ ] ", "7", '"t"', '{"a":1,"a":2}', "[[[1],2],3]", "[NaN, -Infinity]"]
+    for text in good:
+        assert repr(nested.read_json(text)) == repr(json.loads(text))
+    for text in ["", "[", "[1", "[1,]", "[1 2]", '{"a"}', '{"a":}', '{"a":1,}', "{1:2}", "[1]]", "01", "nul", '"x', "{]", "[}"]:
+        with pytest.raises(ValueError):
+            nested.read_json(text)
