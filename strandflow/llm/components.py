@@ -1,13 +1,18 @@
 """Groups of records linked directly or through others, over any number of pairs.
 
-Method: union-find runs within the partitions the pairs arrive in and keeps only spanning forests (stars: vertex and
-local root). Forests are then merged level by level through partitions of at most ``EDGES_AT_ONCE`` edges: once a
-level's stars fit one such partition, a last union-find gives the global components. While they don't, vertices that
-met several local roots become edges between those roots, which is the (much smaller) graph of the next level, and each
-vertex keeps its least local root; the levels are read back from the last to the first.
+Method: union-find runs within the partitions the pairs arrive in and keeps only spanning forests (stars: vertex and local
+root). Forests are then merged level by level through partitions of at most ``EDGES_AT_ONCE`` edges. Once a level's forest
+fits one such partition, a last union-find gives the global components. While it doesn't, every vertex is replaced by the
+least of the local roots it has met, which merges the forests it belongs to; the edges left between different roots are the
+next level's, again run through union-find in their partitions. The levels are read back from the last to the first.
 
-The group identifier is the least member. The greatest vertex of a component is never a root, so every level has fewer
-vertices than the one before and the loop ends.
+Roots are the least by a hash that is seeded anew on every level, not by name, so no order of names is bad: a vertex stays
+only if it is the least one that some vertex has met, of a chain fewer than half of them. The levels grow with the logarithm
+of pairs / EDGES_AT_ONCE, and as the greatest vertex of a component is never chosen, each level has fewer vertices than the
+one before. The group identifier is the least member.
+
+Hot vertices: a hub meets its leaves in the partition where the pairs are and leaves one row per vertex there; where a
+root's replacement has to reach the rows that carry it, :func:`lookup` sends that of hot roots to the rows.
 
 Defined results: a null or blank name names no record; a pair of a record with itself links nothing but names it;
 repeated pairs and both directions count once; empty input gives an empty result; extra columns are ignored.
@@ -17,14 +22,16 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.functions.session import materialise
+from strandflow.functions.session import materialise, release
 from strandflow.functions.text import SPACES, strip_space
+from strandflow.operators.skew import lookup
+
+EDGES_AT_ONCE = 200_000
 
-EDGES_AT_ONCE = 1_000_000
-MAX_LEVELS = 60
+_STAR = "v string, r string"
 
 
 def forest(a: list[int], b: list[int], n: int) -> list[int]:
@@ -44,58 +51,83 @@ def forest(a: list[int], b: list[int], n: int) -> list[int]:
     return parent
 
 
-def _stars(pairs: pa.Table) -> pa.RecordBatch:
-    """Stars of the spanning forest of string pairs; every vertex comes out once, a root with itself."""
-    both = pa.chunked_array([*pairs.column(0).chunks, *pairs.column(1).chunks], pa.string())
-    names = both.unique()
-    names = names.take(pc.sort_indices(names))  # code order is string order
-    n = len(pairs)
-    codes = pc.index_in(both, names).to_pylist()
-    roots = forest(codes[:n], codes[n:], len(names))
+def _stars(edges: pa.Table) -> pa.RecordBatch:
+    """Stars of the spanning forest of edges (a, b, hash of a, hash of b); every vertex comes out once, a root with itself."""
+    n = len(edges)
+    both = pa.chunked_array([*edges.column(0).chunks, *edges.column(1).chunks], pa.string())
+    hashes = pa.chunked_array([*edges.column(2).chunks, *edges.column(3).chunks], pa.int64())
+    coded = both.combine_chunks().dictionary_encode()
+    codes = coded.indices
+    first = pc.index_in(pa.array(range(len(coded.dictionary)), pa.int32()), codes)
+    known = pa.table({"v": coded.dictionary, "h": hashes.combine_chunks().take(first)})
+    order = pc.sort_indices(known, [("h", "ascending"), ("v", "ascending")])
+    names = coded.dictionary.take(order)
+    place = pc.index_in(pa.array(range(len(names)), pa.int64()), order.cast(pa.int64()))
+    ranks = place.take(codes).to_pylist()
+    roots = forest(ranks[:n], ranks[n:], len(names))
     return pa.RecordBatch.from_arrays([names, names.take(pa.array(roots, pa.int64()))], names=["v", "r"])
 
 
-def _local_forests(batches):
-    """Forests of bounded runs of edges, whatever the partition's size; a run's forest stays in the next run."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= EDGES_AT_ONCE:
-            yield _stars(pa.Table.from_batches(held).rename_columns(["v", "r"]))
-            held, rows = [], 0
-    if rows:
-        yield _stars(pa.Table.from_batches(held).rename_columns(["v", "r"]))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, group_id) of every vertex of ``edges`` (a STRING, b STRING)."""
-    stars = edges.where("a is not null and b is not null and a <> b").select("a", "b").mapInArrow(_local_forests, "v string, r string")
-    kept: list[DataFrame] = []  # per level: each vertex with its least local root
-    for level in range(MAX_LEVELS):
-        stars = materialise(stars, f"components-stars-{level}")
+def _local_forests(at_once: int):
+    """Forests of bounded runs of edges, whatever the partition's size."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            for begin in range(0, batch.num_rows, at_once):
+                part = batch.slice(begin, at_once)
+                held.append(part)
+                rows += part.num_rows
+                if rows >= at_once:
+                    yield _stars(pa.Table.from_batches(held))
+                    held, rows = [], 0
+        if rows:
+            yield _stars(pa.Table.from_batches(held))
+
+    return run
+
+
+def _hash(level: int, c: str) -> Column:
+    return F.xxhash64(F.lit(level), c)
+
+
+def _forests(edges: DataFrame, level: int, at_once: int) -> DataFrame:
+    return edges.select("a", "b", _hash(level, "a").alias("ha"), _hash(level, "b").alias("hb")).mapInArrow(_local_forests(at_once), _STAR)
+
+
+def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE, levels: list[int] | None = None) -> DataFrame:
+    """(vertex, group_id) of every vertex of ``edges`` (a STRING, b STRING); ``levels`` receives each level's number of edges."""
+    linked = edges.where("a is not null and b is not null and a <> b").select("a", "b")
+    stars = materialise(_forests(linked, 0, at_once), "components-stars")
+    merged: list[DataFrame] = []  # per level: each vertex and what replaces it
+    while True:
         links = stars.where("v <> r")
         n = links.count()
-        if n <= EDGES_AT_ONCE:
-            labels = links.repartition(1).mapInArrow(_local_forests, "v string, r string")
+        if levels is not None:
+            levels.append(n)
+        if n <= at_once:
+            last = links.select(F.col("v").alias("a"), F.col("r").alias("b")).repartition(1)
+            # by name, so that without further levels the root is the least member
+            top = last.select("a", "b", F.lit(0).cast("bigint").alias("ha"), F.lit(0).cast("bigint").alias("hb")).mapInArrow(_local_forests(at_once + 1), _STAR)
             break
-        w = Window.partitionBy("v")
-        met = stars.distinct().withColumn("least", F.min("r").over(w))
-        met = materialise(met, f"components-met-{level}")
-        kept.append(met.select("v", F.col("least").alias("root")).distinct())
-        between = met.where("r <> least").select("r", "least").distinct()
-        parts = -(-n // EDGES_AT_ONCE)
-        # another grouping on each level: by the smaller root, then by the greater
-        stars = between.repartition(parts, "least" if level % 2 == 0 else "r").mapInArrow(_local_forests, "v string, r string")
-    else:
-        raise RuntimeError(f"components not found within {MAX_LEVELS} levels")
-    labels = labels.select("v", F.col("r").alias("group_id"))
-    for table in reversed(kept):
-        labels = (
-            table.join(labels.withColumnRenamed("v", "root"), "root", "left")
-            .select("v", F.coalesce("group_id", "root").alias("group_id"))
-        )
-    return labels.withColumnRenamed("v", "vertex")
+        level = len(merged)
+        chosen = materialise(stars.groupBy("v").agg(F.min(F.struct(_hash(level, "r").alias("h"), F.col("r").alias("r")))["r"].alias("p")), "components-chosen")
+        met = materialise(links.join(chosen, "v").select("r", F.col("p").alias("a")), "components-met")
+        between = lookup(met, "r", chosen.select(F.col("v").alias("r"), F.col("p").alias("b"))).where("a <> b").select("a", "b").distinct()
+        after = materialise(_forests(between, level + 1, at_once), "components-stars")
+        release(stars)
+        release(met)
+        stars = after
+        merged.append(chosen)
+    if not merged:
+        return top.select(F.col("v").alias("vertex"), F.col("r").alias("group_id"))
+    labels = materialise(top.select(F.col("v").alias("p"), F.col("r").alias("top")), "components-labels")
+    for chosen in reversed(merged):
+        found = lookup(chosen, "p", labels).select(F.col("v").alias("p"), F.coalesce("top", "p").alias("top"))
+        before, labels = labels, materialise(found, "components-labels")
+        release(before)
+    least = labels.groupBy("top").agg(F.min("p").alias("group_id"))
+    return lookup(labels, "top", least).select(F.col("p").alias("vertex"), "group_id")
 
 
 def first_word(c: Column) -> Column:
@@ -109,10 +141,10 @@ def share(c: Column) -> Column:
     return F.when(F.isnan(c) | c.isNull(), None).when(c > 1, c / 100).otherwise(c)
 
 
-def pair_groups(pairs: DataFrame, name_a: str, name_b: str, measure: str, at_least: float) -> DataFrame:
+def pair_groups(pairs: DataFrame, name_a: str, name_b: str, measure: str, at_least: float, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """(accession, group_id) of every accession named in ``pairs``; linked where any row measures ``at_least``."""
     named = pairs.select(first_word(F.col(name_a)).alias("a"), first_word(F.col(name_b)).alias("b"), share(F.col(measure)).alias("m"))
-    groups = components(named.where(F.col("m") >= at_least).select("a", "b"))
+    groups = components(named.where(F.col("m") >= at_least).select("a", "b"), at_once)
     everyone = named.select("a").unionByName(named.select(F.col("b").alias("a"))).where("a is not null").distinct()
     return everyone.join(groups.withColumnRenamed("vertex", "a"), "a", "left").select(
         F.col("a").alias("accession"), F.coalesce("group_id", "a").alias("group_id")
