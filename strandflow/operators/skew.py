@@ -19,13 +19,13 @@ def hot_from(df: DataFrame, rows: int) -> int:
     return max(1000, rows // min(4 * parts, MOST_HOT) + 1)
 
 
-def lookup(df: DataFrame, key: str, table: DataFrame, how: str = "left", one_task: int = ONE_TASK) -> DataFrame:
+def lookup(df: DataFrame, key: str, table: DataFrame, how: str = "left", one_task: int = ONE_TASK, rows: int | None = None) -> DataFrame:
     """``df`` with the columns of ``table`` (one row per ``key``).
 
     Rows of hot keys meet a broadcast of just those keys' rows of ``table`` where they are; the others are shuffled. ``df``
-    is read three times, so it should be a written table. A null key finds nothing.
+    is read three times, so it should be a written table, unless it is known to have few ``rows``. A null key finds nothing.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= one_task:
         return df.join(table, key, how)
     hot = materialise(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_from(df, rows)).select(key), "hot-keys")
