@@ -35,6 +35,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return components.pair_groups(table(spark, d, "pairwise"), "query_name", "match_name", "average_containment_ani", MIN_ANI)
 
 
+def p6_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """As p6_found, with partitions of at most 500 edges, so that small tables too are merged over several levels."""
+    return components.pair_groups(table(spark, d, "pairwise"), "query_name", "match_name", "average_containment_ani", MIN_ANI, 500)
+
+
 def p6_cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
     """How many groups there are of each size; size 1 are the singletons."""
     sizes = p6_found(spark, d).groupBy("group_id").agg(F.count("*").alias("size"))
@@ -71,7 +76,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_hierarchy, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture, p9_found, p9_composition)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
@@ -101,6 +106,7 @@ g AS (SELECT accession, min(other) AS group_id FROM reach GROUP BY 1)
 
 SQL = {
     "p6_found": _P6 + "SELECT accession, group_id FROM g",
+    "p6_hierarchy": _P6 + "SELECT accession, group_id FROM g",
     "p6_cluster_sizes": _P6 + "SELECT size, count(*) AS n_groups FROM (SELECT group_id, count(*) AS size FROM g GROUP BY 1) GROUP BY 1",
     "p1_found": _P1.format(more=""),
     "p1_overlaps": _P1.format(more=", t.ksize, t.seed, t.cut AS scaled, n_shared, x.n AS n_a, y.n AS n_b"),

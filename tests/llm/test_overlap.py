@@ -28,9 +28,13 @@ def run(spark, sets, hashes, share):
     return {(r.sketch_path_a, r.sketch_path_b, r.scaled, r.n_shared, r.n_a, r.n_b) for r in overlap.overlaps(h, s, share).collect()}
 
 
-@pytest.mark.parametrize("share", [0.0, 0.1, 0.5])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, monkeypatch, share, seed):
+@pytest.mark.parametrize(("share", "seed", "hot"), [(0.0, 1, 25), (0.1, 1, None), (0.1, 2, 25), (0.5, 2, 25)])
+def test_against_all_pairs(spark, monkeypatch, share, seed, hot):
+    """With and without hot identifiers, cells as grids, groups of copies and hot sets in slices."""
+    if hot:
+        for name, value in (("HOT_SETS", hot), ("PAIRS_PER_TASK", 5), ("MEMBERS_PER_SLICE", 2), ("ONE_TASK", 50)):
+            monkeypatch.setattr(overlap, name, value)
+        monkeypatch.setattr(overlap, "hot_from", lambda df, rows: 4)
     monkeypatch.setattr(overlap, "ROWS_PER_RANGE", 500)
     monkeypatch.setattr(overlap, "_PAIRS_AT_ONCE", 50)
     rng = random.Random(seed)
@@ -78,6 +82,13 @@ def test_intersections_both_ways():
         assert overlap.intersect_runs(oa, fa, ob, fb).tolist() == want
 
 
+def test_merge_of_full_width():
+    top = np.uint64(2**64 - 1)
+    a = np.array([0, 5, top, 0, top], np.uint64)
+    b = np.array([0, top, 1, top], np.uint64)
+    assert overlap.linear_merge(np.array([0, 0, 0, 1, 1]), a, np.array([0, 0, 1, 1]), b, 2).tolist() == [2, 1]
+
+
 def test_runs_decode():
     values = [np.array([5, 9, 2**63 + 3], np.uint64), np.array([], np.uint64), np.array([0, 7], np.uint64)]
     deltas = np.concatenate([np.diff(v, prepend=np.uint64(0)) for v in values])
