@@ -63,8 +63,20 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each source per window, beside the source's share of the window."""
-    mixed = p8_pack(spark, d).groupBy((F.shiftright("container_id", 36)).alias("bucket"), "window_no", "source").agg(F.sum("n_tokens").alias("n_tokens"))
-    return mixed.withColumn("share", F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("bucket", "window_no")))
+    return packing.mixture(p8_pack(spark, d))
+
+
+def p8_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of a packing at equal shares of all sources, unlike the corpus: per kind of window how many there are, their
+    tokens, and the mean and the greatest distance of a source from its share in windows of at least half their containers."""
+    sizes = packing.sized(table(spark, d, "documents"), "doc_id", "text", "source")
+    names = [r[0] for r in sizes.where("source is not null and n_tokens > 0").select("source").distinct().collect()]  # a target is given per source
+    out = packing.mixture(packing.pack(sizes, "doc_id", targets=dict.fromkeys(names, 1.0)))
+    whole = F.sum("n_tokens").over(Window.partitionBy("bucket", "window_no"))
+    off = F.when(F.col("at_target") & (F.col("w") >= packing.CAPACITY * packing.CONTAINERS_PER_WINDOW / 2), F.abs(F.col("share") - 1 / max(len(names), 1)))
+    return out.withColumn("w", whole).groupBy("at_target").agg(
+        F.countDistinct("bucket", "window_no").alias("n_windows"), F.sum("n_tokens").alias("n_tokens"), F.avg(off).alias("mean_off"), F.max(off).alias("worst_off")
+    )
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +88,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_hierarchy, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_overlaps, p2_found, p2_unmatched_values, p6_found, p6_hierarchy, p6_cluster_sizes, p7_ids, p8_pack, p8_fill, p8_mixture, p8_targets, p9_found, p9_composition)}
 
 _P1 = """
 WITH s AS (SELECT DISTINCT sketch_path, ksize, seed, scaled FROM metagenome_sketch WHERE ksize IS NOT NULL AND scaled IS NOT NULL AND seed IS NOT NULL),
