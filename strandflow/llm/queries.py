@@ -9,6 +9,13 @@ from strandflow.functions.session import table
 from strandflow.llm import canonical, components, overlap, packing, subjects, tokens
 
 MIN_SHARE = 0.1
+#: Words of typed taxonomies that aren't part of a name.
+TAXON_MARKERS = canonical.Markers(
+    leaf_rank="species",
+    open_names=frozenset("sp spp species".split()),
+    below=frozenset("strain isolate subsp subspecies str substr var variety serovar serotype biovar pathovar pv bv clone culture ssp atx type".split()),
+    around=frozenset("candidatus ca uncultured unclassified unidentified cf aff nov gen comb complex group genomosp the of bacterium".split()),
+)
 MIN_ANI = 0.95
 
 
@@ -21,13 +28,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.map_values(table(spark, d, "genome_manifest"), table(spark, d, "taxa"), "taxonomy", ["accession"])
+    return canonical.map_values(table(spark, d, "genome_manifest"), table(spark, d, "taxa"), "taxonomy", ["accession"], markers=TAXON_MARKERS)
 
 
 def p2_unmatched_values(spark: SparkSession, d: str) -> DataFrame:
     """The typed values that mean no entry, with the accessions that carry each."""
     typed = table(spark, d, "genome_manifest").withColumn("typed", F.col("taxonomy"))
-    mapped = canonical.map_values(typed, table(spark, d, "taxa"), "taxonomy", ["accession", "typed"])
+    mapped = canonical.map_values(typed, table(spark, d, "taxa"), "taxonomy", ["accession", "typed"], markers=TAXON_MARKERS)
     return mapped.where(F.col("taxid") == canonical.UNMATCHED).groupBy("typed").agg(F.count("*").alias("n_accessions"))
 
 
