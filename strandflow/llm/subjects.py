@@ -1,11 +1,19 @@
 """Subject areas of documents by classifier chains.
 
-Method. From labelled documents each term gets a subject profile: the shares of its occurrences over subjects, with terms
-of documents of two subjects divided by the profiles of the round before. A document's evidence per subject is the sum
-of the profiles of its terms. A chain of logistic classifiers, one per subject, reads the evidence (term features), where
-the file comes from (source features: path and language) and its form (structure features), and what the chain has
-decided before (how many subjects, and how often those occur with this one). Probabilities are calibrated on documents
-held out from the fit, and a beam search over the chain finds the most probable combination of one or two subjects.
+Method. A chain of logistic classifiers, one per subject, each with weights of its own, reads of a document
+
+- term features: each term has a subject profile, the shares of its occurrences over the subjects of labelled documents (terms
+  of documents of two subjects divided by the profiles of the round before); a document's evidence for a subject is the sum of
+  its terms' profiles, and the classifier sees it against the evidence for the others;
+- source features: how often the labelled documents of its ``source``, ``repo`` and ``lang`` and with the words of its ``path``
+  have the subject, against all labelled documents;
+- structure features: length, line length and number of words;
+- the chain before it: how many subjects were given, and how often those occur together with this one.
+
+A classifier's weights are those that serve all subjects plus its own, which are drawn towards 0, so that a subject with few
+labels has a classifier as well. Each one's probabilities are calibrated on labelled documents held out from the fit, and a
+beam search over the chain finds the most probable combination of one or two subjects. All of a document's features come from
+profiles that haven't seen its label. The fit is one task on an executor; the driver passes the model on.
 
 Terms are whole words of the text, split at case changes and digits; a word written together from known terms counts as
 those, and a cut-off word as the terms it begins, if they are all of one profile.
@@ -18,6 +26,7 @@ ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -33,16 +42,22 @@ from strandflow.functions.text import blank
 
 #: At most so many labelled documents are used for the fit, the first by a hash of their id.
 MAX_LABELLED = 12_000
-MAX_TERMS = 60_000
+#: Parts of the labelled documents; each is described by profiles of the others.
+FOLDS = 4
 BEAM = 6
 #: A label whose probability is this far off counts as an error of the labelling.
 DOUBT = 0.93
 KNOTS = (0.1, 0.15, 0.2, 0.25, 0.3, 0.35)
+#: A term counts as a whole word if so many labelled documents have it.
+WHOLE_WORD = 3
+#: Weight of the shares of all documents beside those of one source, repository, language or path word.
+PRIOR = 5.0
+#: How strongly weights are drawn to 0, in documents: those that serve all subjects, and each subject's own.
+SHARED_PRIOR, OWN_PRIOR = 3.0, 20.0
 MEMO = 300_000
 
 _RUNS = re.compile(r"[^\W\d_]+")
 _CASES = re.compile(r"[^\W\d_a-zß-öø-ÿ]?[a-zß-öø-ÿ]+|[^\W\d_a-zß-öø-ÿ]+(?![a-zß-öø-ÿ])|[^\W\d_]+")
-_LICENCE_PATH = re.compile(r"licen[cs]e|copying|notice|legal", re.I)
 
 
 def runs(text: str) -> Counter:
@@ -57,14 +72,85 @@ def terms(run: str) -> list[str]:
     return [w.lower() for w in _CASES.findall(run)]
 
 
-def form(text: str, path: str | None, lang: str | None, n_runs: int) -> list[float]:
-    """Source and structure features."""
+N_FORM = 4
+
+
+def form(text: str, n_runs: int) -> list[float]:
+    """Structure features."""
     lines = text.count("\n") + 1
-    licence = bool(path and _LICENCE_PATH.search(path.rsplit("/", 1)[-1]))
-    return [1.0, float(licence), float(lang is None), float(lang in ("json", "yaml", "sql")), float(lang == "markdown"), np.log1p(len(text)), np.log1p(len(text) / lines), np.log1p(n_runs)]
+    return [1.0, np.log1p(len(text)), np.log1p(len(text) / lines), np.log1p(n_runs)]
+
+
+#: Kinds of origin: the source, the repository, the language and the words of the path.
+ORIGINS = ("source", "repo", "lang", "folder", "name")
+
+
+def origin(source: str | None, repo: str | None, lang: str | None, path: str | None) -> list[tuple[str, str]]:
+    """(kind, value) of where a document comes from; a missing value is a value."""
+    out = [("source", source or ""), ("repo", repo or ""), ("lang", lang or "")]
+    folders, _, name = (path or "").rpartition("/")
+    out += [("folder", w) for w in sorted({t for r in _RUNS.findall(folders) for t in terms(r)})]
+    return out + [("name", w) for w in sorted({t for r in _RUNS.findall(name) for t in terms(r)}) or [""]]
+
+
+class Origins:
+    """How often labelled documents of an origin have each subject, as log ratios to all labelled documents."""
+
+    def __init__(self, docs: list[list[tuple[str, str]]], y: np.ndarray):
+        self.n = y.shape[1]
+        self.whole, self.mass = y.sum(0), float(max(len(docs), 1))
+        self.seen: dict[tuple, np.ndarray] = {}
+        for values, row in zip(docs, y):
+            for v in values:
+                if v not in self.seen:
+                    self.seen[v] = np.zeros(self.n + 1)
+                self.seen[v][:-1] += row
+                self.seen[v][-1] += 1
+
+    def features(self, values: list[tuple[str, str]], own: np.ndarray | None = None) -> np.ndarray:
+        """(subjects, kinds): the mean and, for words, the furthest ratio of each kind. ``own``: labels to leave out again."""
+        base = (self.whole - (own if own is not None else 0) + 0.5) / (self.mass + 5)
+        per: dict[str, list] = {k: [] for k in ORIGINS}
+        for v in values:
+            got = self.seen.get(v)
+            if got is None:
+                continue
+            n, total = got[:-1], got[-1]
+            if own is not None:
+                n, total = n - own, total - 1
+            per[v[0]].append(np.log((n + PRIOR * base) / ((total + PRIOR) * base)))
+        out = np.zeros((self.n, len(ORIGINS) + 2))
+        for k, kind in enumerate(ORIGINS):
+            if per[kind]:
+                out[:, k] = np.mean(per[kind], axis=0)
+        for k, kind in enumerate(("folder", "name")):
+            if per[kind]:
+                out[:, len(ORIGINS) + k] = np.max(per[kind], axis=0)
+        return out
+
 
+class Corpus:
+    """Terms of labelled documents as flat arrays: document, term, damped occurrences."""
 
-N_FORM = 8
+    def __init__(self, docs: list[Counter]):
+        index: dict[str, int] = {}
+        parts: dict[str, list[int]] = {}
+        doc, term, n = [], [], []
+        for i, counted in enumerate(docs):
+            tf: Counter = Counter()
+            for r, c in counted.items():
+                if r not in parts:
+                    parts[r] = [index.setdefault(t, len(index)) for t in terms(r)]
+                for t in parts[r]:
+                    tf[t] += c
+            doc.append(np.full(len(tf), i))
+            term.append(np.fromiter(tf.keys(), np.int64, len(tf)))
+            n.append(np.fromiter(tf.values(), float, len(tf)))
+        none = [np.empty(0, np.int64)]
+        self.words = list(index)
+        self.doc, self.term = np.concatenate(doc or none).astype(np.int64), np.concatenate(term or none)
+        # repetition within a document counts less, so that one long file doesn't make a profile
+        self.n = np.sqrt(np.concatenate(n or [np.empty(0)]))
 
 
 class Lexicon:
@@ -73,43 +159,28 @@ class Lexicon:
     def __init__(self, subjects: list[str]):
         self.subjects = subjects
         self.profile: dict[str, np.ndarray] = {}
-        self.common: set[str] = set()
         self.starts: dict[str, list[str]] = {}
-
-    def fit(self, docs: list[tuple[Counter, list[int]]], rounds: int = 3) -> Lexicon:
-        n = len(self.subjects)
-        seen: dict[str, int] = Counter()
-        rows: list[tuple[list[str], np.ndarray, list[int]]] = []
-        for counted, labels in docs:
-            tf: Counter = Counter()
-            for r, c in counted.items():
-                for t in terms(r):
-                    tf[t] += c
-            seen.update(tf.keys())
-            # repetition within a document counts less, so that one long file doesn't make a profile
-            rows.append((list(tf), np.sqrt(np.fromiter(tf.values(), float, len(tf))), labels))
-        words = [w for w, k in Counter(seen).most_common(MAX_TERMS) if k >= 2 and len(w) > 2]
-        index = {w: i for i, w in enumerate(words)}
-        mass = np.zeros(n)
-        for _, _, labels in rows:
-            for s in labels:
-                mass[s] += 1 / len(labels)
-        base = (mass + 1) / (mass + 1).sum()
-        strength = np.zeros((len(words), n))
+        self.whole: set[str] = set()
+
+    def fit(self, corpus: Corpus, y: np.ndarray, inside: np.ndarray | None = None, rounds: int = 3) -> Lexicon:
+        """``y``: labels (documents, subjects); ``inside``: which documents count."""
+        n, size = y.shape[1], len(corpus.words)
+        rows = np.ones(len(y), bool) if inside is None else inside
+        ok = rows[corpus.doc]
+        doc, term, v = corpus.doc[ok], corpus.term[ok], corpus.n[ok]
+        seen = np.bincount(term, minlength=size)
+        dealt = y / np.maximum(y.sum(1, keepdims=True), 1)
+        mass = dealt[rows].sum(0)
+        strength = np.zeros((size, n))
         for k in range(rounds):
-            counts = np.zeros((len(words), n))
-            for ws, tf, labels in rows:
-                at = np.fromiter((index.get(w, -1) for w in ws), int, len(ws))
-                ok = at >= 0
-                at, v = at[ok], tf[ok]
-                if k == 0 or len(labels) == 1:
-                    for s in labels:
-                        np.add.at(counts, (at, s), v / len(labels))
-                else:
-                    part = strength[at][:, labels] + 0.05
-                    part = part / part.sum(1, keepdims=True) * v[:, None]
-                    for j, s in enumerate(labels):
-                        np.add.at(counts, (at, s), part[:, j])
+            counts = np.zeros((size, n))
+            for lo in range(0, len(doc), 500_000):
+                d, t, w = doc[lo : lo + 500_000], term[lo : lo + 500_000], v[lo : lo + 500_000, None]
+                part = dealt[d] if k == 0 else (strength[t] + 0.05) * y[d]
+                part = part / np.maximum(part.sum(1, keepdims=True), 1e-12) * w
+                for s in range(n):
+                    counts[:, s] += np.bincount(t, weights=part[:, s], minlength=size)
+            counts[seen < 2] = 0
             # share of each subject against what its documents would give any word
             rate = counts / np.maximum(mass, 1)
             share = (rate + 0.002) / (rate + 0.002).sum(1, keepdims=True)
@@ -118,33 +189,38 @@ class Lexicon:
             strength[strength.max(1) < 0.12] = 0
         # profiles sum to at most 1; words of no subject are common words
         total = strength.sum(1)
-        for i, w in enumerate(words):
-            if total[i] > 0:
-                self.profile[w] = (strength[i] / max(total[i], 1e-9) * min(1.0, total[i] * 1.5)).astype(np.float32)
-        many = max(3, len(docs) // 200)
-        self.common = {w for w in words if w not in self.profile and seen[w] >= many}
-        known = [w for w in self.profile if seen[w] >= many]
-        self.whole = set(known) | self.common
+        scaled = (strength / np.maximum(total, 1e-9)[:, None] * np.minimum(1.0, total * 1.5)[:, None]).astype(np.float32)
         starts: dict[str, list[str]] = defaultdict(list)
-        for w in known:
-            for k in range(4, len(w)):
-                starts[w[:k]].append(w)
+        for i in np.flatnonzero(seen >= 2):
+            w = corpus.words[i]
+            if total[i] > 0:
+                self.profile[w] = scaled[i]
+            if seen[i] >= WHOLE_WORD:
+                self.whole.add(w)
+                if total[i] > 0:
+                    for k in range(4, len(w)):
+                        starts[w[:k]].append(w)
         self.starts = dict(starts)
-        self.base = base
+        self.longest = max(map(len, self.whole), default=0)
         return self
 
     def pieces(self, word: str) -> list[str] | None:
-        """The known words that ``word`` is written together from, the fewest; None if it isn't."""
+        """The known words of three letters or more that ``word`` is written together from, the fewest; None if it isn't."""
         size = len(word)
-        if not 6 <= size <= 60:
-            return None
-        best: list[list[str] | None] = [[]] + [None] * size
+        least: list[int | None] = [0] + [None] * size
+        begun = [0] * (size + 1)
         for end in range(3, size + 1):
-            for begin in range(max(0, end - 24), end - 2):
-                if best[begin] is not None and word[begin:end] in self.whole:
-                    if best[end] is None or len(best[begin]) + 1 < len(best[end]):
-                        best[end] = [*best[begin], word[begin:end]]
-        return best[size]
+            for begin in range(max(0, end - self.longest), end - 2):
+                k = least[begin]
+                if k is not None and (least[end] is None or k + 1 < least[end]) and word[begin:end] in self.whole:
+                    least[end], begun[end] = k + 1, begin
+        if least[size] is None:
+            return None
+        out = []
+        while size:
+            out.append(word[begun[size] : size])
+            size = begun[size]
+        return out[::-1]
 
     def of_word(self, word: str) -> np.ndarray | None:
         if word in self.whole:
@@ -203,8 +279,8 @@ class Reader:
         return np.stack([n @ rows, np.sqrt(n) @ rows])
 
 
-def _design(evidence: np.ndarray, forms: np.ndarray) -> np.ndarray:
-    """Features of every (document, subject): evidence of the subject against the others', then source and form."""
+def _design(evidence: np.ndarray, forms: np.ndarray, origins: np.ndarray) -> np.ndarray:
+    """Features of every (document, subject): evidence of the subject against the others', then source and structure."""
     d, _, n = evidence.shape
     blocks = []
     for k in range(2):
@@ -218,11 +294,11 @@ def _design(evidence: np.ndarray, forms: np.ndarray) -> np.ndarray:
         if k == 0:  # the response to a share need not be a straight line
             blocks += [np.clip(share - knot, 0, 0.05) for knot in KNOTS]
     x = np.stack(blocks, axis=2)
-    return np.concatenate([x, np.broadcast_to(forms[:, None, :], (d, n, forms.shape[1]))], axis=2)
+    return np.concatenate([x, origins, np.broadcast_to(forms[:, None, :], (d, n, forms.shape[1]))], axis=2)
 
 
 class Chain:
-    """Logistic classifiers in a chain; the evidence weights are shared, each subject has its own intercept and form weights."""
+    """Logistic classifiers in a chain, each with its own weights and calibration."""
 
     def __init__(self, n_subjects: int):
         self.n = n_subjects
@@ -234,48 +310,53 @@ class Chain:
         return np.stack([k >= 1, k >= 2, seen, np.full(len(before), (self.n - s) / self.n) * (k == 0)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400) -> Chain:
-        d, n, f = x.shape
+        d, n, _ = x.shape
         joint = y.T @ y
         alone = np.diag(joint)
         self.together = np.log((joint + 0.5) / (np.outer(alone, alone) / max(d, 1) + 0.5)) * (1 - np.eye(n))
         chain = np.stack([self._chain_features(y[:, :s], s) for s in range(n)], axis=1)
         full = np.concatenate([x, chain], axis=2)
         self.mean, self.scale = full.reshape(-1, full.shape[2]).mean(0), full.reshape(-1, full.shape[2]).std(0) + 1e-6
-        z = ((full - self.mean) / self.scale).astype(np.float32)
-        w, own = np.zeros(z.shape[2]), np.zeros((n, 3))
-        mix = np.concatenate([np.ones((d, 1)), x[:, 0, -N_FORM + 1 : -N_FORM + 3]], axis=1)  # intercept, licence path, no language
+        z = np.ascontiguousarray(((full - self.mean) / self.scale).transpose(1, 0, 2), np.float32)  # (subjects, documents, features)
+        w, own = np.zeros(z.shape[2], np.float32), np.zeros((n, z.shape[2] + 1), np.float32)  # own: intercept first
         m = [np.zeros_like(w), np.zeros_like(own)]
         v = [np.zeros_like(w), np.zeros_like(own)]
+        t_y = y.T.astype(np.float32)
+        pull = np.full(own.shape[1], OWN_PRIOR / d, np.float32)
+        pull[0] = SHARED_PRIOR / d
         for t in range(1, steps + 1):  # Adam on the penalised likelihood
-            p = 1 / (1 + np.exp(-(z @ w + mix @ own.T)))
-            g = (p - y) / d
-            grads = [np.tensordot(g, z, ([0, 1], [0, 1])) + 1e-3 * w, g.T @ mix + 1e-3 * own]
+            logits = np.stack([z[s] @ (w + own[s, 1:]) + own[s, 0] for s in range(n)])
+            g = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - t_y) / d
+            per = np.stack([np.r_[g[s].sum(), g[s] @ z[s]] for s in range(n)])
+            grads = [per[:, 1:].sum(0) + SHARED_PRIOR / d * w, per + pull * own]
             for k, (par, gr) in enumerate(zip((w, own), grads)):
                 m[k] = 0.9 * m[k] + 0.1 * gr
                 v[k] = 0.99 * v[k] + 0.01 * gr * gr
                 par -= 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
-        self.w, self.own, self.a, self.b = w, own, 1.0, 0.0
+        self.weights, self.intercepts = (w + own[:, 1:]).astype(float), own[:, 0].astype(float)
+        self.a, self.b = np.ones(n), np.zeros(n)
         return self
 
     def _logit(self, x: np.ndarray, before: np.ndarray, s: int) -> np.ndarray:
         f = np.concatenate([x[:, s, :], self._chain_features(before, s)], axis=1)
-        mix = np.concatenate([np.ones((len(x), 1)), x[:, 0, -N_FORM + 1 : -N_FORM + 3]], axis=1)
-        return self.a * (((f - self.mean) / self.scale) @ self.w + mix @ self.own[s]) + self.b
+        return self.a[s] * (((f - self.mean) / self.scale) @ self.weights[s] + self.intercepts[s]) + self.b[s]
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> Chain:
-        """Slope and intercept of the logits on held-out documents."""
-        z = np.stack([self._logit(x, y[:, :s], s) for s in range(self.n)], axis=1).ravel()
-        t, a, b = y.ravel(), 1.0, 0.0
-        for _ in range(50):  # Newton with a little damping
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            r, h = p - t, p * (1 - p) + 1e-6
-            g = np.array([(r * z).mean() + 1e-3 * (a - 1), r.mean() + 1e-3 * b])
-            hess = np.array([[(h * z * z).mean() + 1e-3, (h * z).mean()], [(h * z).mean(), h.mean() + 1e-3]])
-            step = np.linalg.solve(hess, g)
-            a, b = a - step[0], b - step[1]
-            if abs(step).max() < 1e-6:
-                break
-        self.a, self.b = (a, b) if a > 0.05 else (1.0, 0.0)
+        """Slope and intercept of each classifier's logits on held-out documents, drawn towards 1 and 0."""
+        for s in range(self.n):
+            z, t, a, b = self._logit(x, y[:, :s], s), y[:, s], 1.0, 0.0
+            ridge = 5.0 / max(len(t), 1)
+            for _ in range(50):  # Newton with a little damping
+                p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+                r, h = p - t, p * (1 - p) + 1e-6
+                g = np.array([(r * z).mean() + ridge * (a - 1), r.mean() + ridge * b])
+                hess = np.array([[(h * z * z).mean() + ridge, (h * z).mean()], [(h * z).mean(), h.mean() + ridge]])
+                step = np.linalg.solve(hess, g)
+                a, b = a - step[0], b - step[1]
+                if abs(step).max() < 1e-6:
+                    break
+            if a > 0.05:
+                self.a[s], self.b[s] = a, b
         return self
 
     def decode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -304,47 +385,51 @@ class Chain:
 
 
 class Model:
-    """Lexicon, reader and chain."""
+    """Lexicon, origins and chain."""
 
     def __init__(self, subjects: list[str]):
         self.subjects = subjects
         self.uid = uuid.uuid4().hex
 
-    def fit(self, docs: list[tuple[Counter, list[int], list[float]]]) -> Model:
-        """docs: (letter runs, labels, form). Labels that a first fit finds all but impossible are left out of a second."""
+    def fit(self, docs: list[tuple[Counter, list[int], list[float], list[tuple[str, str]]]]) -> Model:
+        """docs: (letter runs, labels, form, origin). Labels that a first fit finds all but impossible are left out of a second."""
         doubt = self._fit(docs)
         sure = [d for d, x in zip(docs, doubt) if x < DOUBT]
-        if len(docs) >= 40 and len(docs) / 2 < len(sure) < len(docs):
+        if len(docs) / 2 < len(sure) < len(docs):
             self._fit(sure)
         return self
 
-    def _fit(self, docs: list[tuple[Counter, list[int], list[float]]]) -> np.ndarray:
+    def _fit(self, docs: list[tuple]) -> np.ndarray:
         """Fit on evidence from lexicons that haven't seen the document; returns each document's worst contradiction."""
-        n, folds = len(self.subjects), (4 if len(docs) < 2000 else 2) if len(docs) >= 40 else 1
-        evidence = np.zeros((len(docs), 2, n))
-        for k in range(folds):
-            inside = [d[:2] for i, d in enumerate(docs) if folds == 1 or i % folds != k]
-            reader = Reader(Lexicon(self.subjects).fit(inside))
-            for i in range(len(docs)):
-                if folds == 1 or i % folds == k:
-                    evidence[i] = reader.evidence(docs[i][0])
+        n, part = len(self.subjects), np.arange(len(docs)) % FOLDS
         y = np.zeros((len(docs), n))
-        for i, (_, labels, _) in enumerate(docs):
-            y[i, labels] = 1
-        self.lexicon = Lexicon(self.subjects).fit([d[:2] for d in docs])
-        x = _design(evidence, np.array([d[2] for d in docs], float).reshape(len(docs), N_FORM))
-        held = np.arange(len(docs)) % 5 == 4 if len(docs) >= 40 else np.zeros(len(docs), bool)
+        for i, d in enumerate(docs):
+            y[i, d[1]] = 1
+        corpus = Corpus([d[0] for d in docs])
+        evidence = np.zeros((len(docs), 2, n))
+        for k in range(FOLDS):
+            reader = Reader(Lexicon(self.subjects).fit(corpus, y, part != k))
+            for i in np.flatnonzero(part == k):
+                evidence[i] = reader.evidence(docs[i][0])
+        self.lexicon = Lexicon(self.subjects).fit(corpus, y)
+        self.origins = Origins([d[3] for d in docs], y)
+        origins = np.stack([self.origins.features(d[3], row) for d, row in zip(docs, y)])
+        x = _design(evidence, np.array([d[2] for d in docs], float).reshape(len(docs), N_FORM), origins)
+        held = np.arange(len(docs)) % 5 == 4
         self.chain = Chain(n).fit(x[~held], y[~held])
         if held.any():
             self.chain.calibrate(x[held], y[held])
-        p = np.stack([1 / (1 + np.exp(-self.chain._logit(x, y[:, :s], s))) for s in range(n)], axis=1)
+        p = np.stack([1 / (1 + np.exp(-np.clip(self.chain._logit(x, y[:, :s], s), -30, 30))) for s in range(n)], axis=1)
         return np.abs(y - p).max(1)
 
     def reader(self) -> Reader:
         return Reader(self.lexicon)
 
-    def predict(self, evidence: np.ndarray, forms: np.ndarray) -> np.ndarray:
-        return self.chain.decode(_design(evidence, forms))
+    def predict(self, evidence: np.ndarray, forms: np.ndarray, origins: np.ndarray) -> np.ndarray:
+        return self.chain.decode(_design(evidence, forms, origins))
+
+
+_FROM = ["doc_id", "text", "source", "repo", "lang", "path"]
 
 
 def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
@@ -359,31 +444,43 @@ def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame, most: in
         .limit(most)
     )
     counted = (
-        documents.where(~blank(F.col("text"))).select("doc_id", "text", "path", "lang")
+        _columns(documents)
         .join(F.broadcast(wanted), "doc_id")
-        .mapInArrow(_count_runs, "doc_id bigint, subjects array<string>, runs array<string>, counts array<int>, form array<double>")
+        .mapInArrow(_count_runs, "doc_id bigint, subjects array<string>, runs array<string>, counts array<int>, form array<double>, origin array<struct<kind:string,value:string>>")
     )
-    # at most ``most`` rows, read in a few parts so that the driver never holds them twice
-    rows = materialise(counted, "subjects-labelled").coalesce(8).toLocalIterator()
-    one: dict[str, str] = {}
-    docs = []
-    for r in rows:
-        counted = Counter({one.setdefault(w, w): n for w, n in zip(r["runs"], r["counts"])})
-        docs.append((r["doc_id"], (counted, [at[s] for s in r["subjects"]], list(r["form"]))))
-    docs = [d for _, d in sorted(docs, key=lambda d: (d[0] * 2654435761 % 2**32, d[0]))]
-    return Model(names).fit(docs) if docs and names else None
+
+    def fit(batches):
+        one: dict[str, str] = {}
+        docs = []
+        for b in batches:
+            for r in b.to_pylist():
+                tally = Counter({one.setdefault(w, w): n for w, n in zip(r["runs"], r["counts"])})
+                docs.append((r["doc_id"], (tally, [at[s] for s in r["subjects"]], r["form"], [(o["kind"], o["value"]) for o in r["origin"]])))
+        docs = [d for _, d in sorted(docs, key=lambda d: (d[0] * 2654435761 % 2**32, d[0]))]
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Model(names).fit(docs))], pa.binary())], names=["model"])
+
+    # at most ``most`` rows, so one task
+    found = materialise(counted, "subjects-labelled").coalesce(1).mapInArrow(fit, "model binary").collect() if names else []
+    return pickle.loads(found[0][0]) if found else None
+
+
+def _columns(documents: DataFrame) -> DataFrame:
+    """The columns that are read; one that is missing is null."""
+    there = set(documents.columns)
+    return documents.where(~blank(F.col("text"))).select(*[F.col(c) if c in there else F.lit(None).cast("string").alias(c) for c in _FROM])
 
 
 def _count_runs(batches):
     for b in batches:
         out = []
-        for i, t, p, g, s in zip(*(b.column(k).to_pylist() for k in ("doc_id", "text", "path", "lang", "subjects"))):
+        for i, t, src, repo, lang, path, s in zip(*(b.column(k).to_pylist() for k in (*_FROM, "subjects"))):
             c = runs(t)
-            out.append((i, s, list(c), list(c.values()), form(t, p, g, len(c))))
+            out.append((i, s, list(c), list(c.values()), form(t, len(c)), [{"kind": k, "value": v} for k, v in origin(src, repo, lang, path)]))
         if out:
             cols = list(zip(*out))
-            types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "subjects", "runs", "counts", "form"])
+            types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "subjects", "runs", "counts", "form", "origin"])
 
 
 @lru_cache(maxsize=1)
@@ -406,17 +503,15 @@ def assign(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(begin, rows_at_once)
-                texts, paths, langs = (part.column(k).to_pylist() for k in (1, 2, 3))
-                evidence, forms = np.zeros((len(texts), 2, len(m.subjects))), np.zeros((len(texts), N_FORM))
-                for i, (t, p, g) in enumerate(zip(texts, paths, langs)):
+                size, n = part.num_rows, len(m.subjects)
+                evidence, forms, origins = np.zeros((size, 2, n)), np.zeros((size, N_FORM)), np.zeros((size, n, len(ORIGINS) + 2))
+                for i, (t, *where) in enumerate(zip(*(part.column(k).to_pylist() for k in _FROM[1:]))):
                     c = runs(t)
-                    evidence[i] = reader.evidence(c)
-                    forms[i] = form(t, p, g, len(c))
-                doc, sub = np.nonzero(m.predict(evidence, forms))
+                    evidence[i], forms[i], origins[i] = reader.evidence(c), form(t, len(c)), m.origins.features(origin(*where))
+                doc, sub = np.nonzero(m.predict(evidence, forms, origins))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array([m.subjects[s] for s in sub], pa.string())], names=["doc_id", "subject"])
 
-    ready = documents.where(~blank(F.col("text"))).select("doc_id", "text", "path", "lang")
-    return ready.mapInArrow(run, "doc_id bigint, subject string").distinct()
+    return _columns(documents).mapInArrow(run, "doc_id bigint, subject string").distinct()
 
 
 def subjects_of(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:

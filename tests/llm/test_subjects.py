@@ -52,16 +52,19 @@ def test_held_out_accuracy(spark):
 
 
 def test_pieces_and_beginnings():
-    docs = [(M.runs(t), [sorted(WORDS).index(s) for s in names]) for _, t, names in corpus(120, 4)]
-    lex = M.Lexicon(sorted(WORDS)).fit(docs)
+    docs = corpus(120, 4)
+    names = sorted(WORDS)
+    y = np.array([[float(s in labels) for s in names] for _, _, labels in docs])
+    lex = M.Lexicon(names).fit(M.Corpus([M.runs(t) for _, t, _ in docs]), y)
     assert "".join(lex.pieces("savegenometablelarva")) == "savegenometablelarva"
     assert np.argmax(lex.of_word("savegenometablelarva")) == 0
     assert np.argmax(lex.of_run("saveReferee")) == 2
     assert np.argmax(lex.of_word("plaint")) == 1
     assert lex.of_word("zzzz") is None
+    assert len(lex.pieces("genomelarva" * 2_000)) == 4_000  # words of any length
 
 
-def test_beam_takes_one_or_two():
+def test_beam_takes_one_or_two_and_each_classifier_has_its_weights():
     chain = M.Chain(3)
     rng = np.random.default_rng(0)
     e = np.zeros((80, 2, 3))
@@ -71,8 +74,21 @@ def test_beam_takes_one_or_two():
         if i % 4 == 0:
             y[i, (i + 1) % 3] = 1
         e[i, :, :] = y[i] * 20 + rng.random(3)
-    x = M._design(e, np.ones((80, M.N_FORM)))
+    none = np.zeros((80, 3, len(M.ORIGINS) + 2))
+    x = M._design(e, np.ones((80, M.N_FORM)), none)
     out = chain.fit(x, y).calibrate(x, y).decode(x)
     assert (out == y).all(axis=1).mean() > 0.97
     assert set(out.sum(1)) <= {1.0, 2.0}
-    assert M._design(e[:0], np.ones((0, M.N_FORM))).shape[0] == 0
+    assert chain.weights.shape == (3, x.shape[2] + 4) and not np.allclose(chain.weights[0], chain.weights[1])
+    assert chain.a.shape == chain.b.shape == (3,)
+    assert M._design(e[:0], np.ones((0, M.N_FORM)), none[:0]).shape[0] == 0
+
+
+def test_origin_leaves_its_own_label_out():
+    y = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 1.0]])
+    places = [M.origin("s", "r1", "c", "lib/licence.txt"), M.origin("s", "r1", "c", "lib/b.c"), M.origin("s", "r2", None, None), M.origin("s", "r2", "c", "x.c")]
+    o = M.Origins(places, y)
+    assert o.features(places[0])[0, 1] > 0 > o.features(places[0])[1, 1]  # repo r1 has the first subject
+    lone = M.Origins([M.origin(None, "only", None, "p")], np.array([[1.0, 0.0]]))
+    assert np.allclose(lone.features(M.origin(None, "only", None, "p"), np.array([1.0, 0.0])), 0)
+    assert np.allclose(o.features([("repo", "new")]), 0)
