@@ -143,15 +143,3 @@ def bits_required(x: Column) -> Column:
 
 def bytes_required(x: Column) -> Column:
     return F.ceil(bits_required(x) / 8).cast("int")
-
-
-def window_codes(s: Column, k: int) -> Column:
-    """ARRAY of the codes of all windows of ``k`` <= 31 bases: base 4, the first base highest, so codes sort like strings."""
-    n = F.length(s) - k + 1
-    ranks = rank4(s)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(ranks.substr(i, F.lit(k)), 4, 10).cast("bigint")))
-
-
-def code_to_kmer(code: Column, k: int) -> Column:
-    """The bases of a code of :func:`window_codes`."""
-    return unrank4(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"))

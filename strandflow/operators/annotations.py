@@ -76,7 +76,7 @@ def gff_graph(features: DataFrame, contigs: DataFrame, k: int) -> tuple[DataFram
     named = features.join(colours, "seed")
     frags = fragments_of(contigs, k)
     tokens = clip(frags, flip(named, contigs.select("seqid", F.length("seq").alias("length"))), k + 1)
-    rows = coloured_edges(frags, tokens, k).select("node", "sym", "colour").distinct()
+    rows = coloured_edges(frags, tokens, k).groupBy("node", "sym").agg(F.array_sort(F.collect_set("colour")).alias("colours"))
     return settle(rows, k), colours
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.operators import kmers as K
+from strandflow.operators import packed
 from strandflow.operators.order import number_rows
 
 SYMBOLS = "$ACGT"
@@ -20,15 +21,26 @@ def build(seqs: DataFrame, k: int, mode: str = "plain", seq: str = "seq", colour
     mode 'plain': (node, sym); 'weighted': and n; 'coloured': and colours, a sorted ARRAY (0: padded or ``$``).
     ``flags`` adds ``first`` and ``last`` as :func:`with_flags` does.
 
-    Two shuffles: occurrences are combined map-side and meet by edge, then by the symbols that all nodes of a block share;
-    colour sets, ``$`` edges and flags are settled there without another one.
+    Two shuffles: occurrences are counted within their batch and meet by edge, where colours become sets, then by the symbols
+    that all nodes of a block share, where ``$`` edges and flags are settled. Up to nodes of 31 symbols both move 8-byte codes,
+    sequences of any length are read in slices, and symbols other than A, C, G, T end a fragment; larger nodes are strings, and
+    only N ends a fragment.
     """
+    if k <= 31:
+        rows = packed.edge_counts(seqs, k, seq, colour if mode == "coloured" else None)
+        if mode == "coloured":
+            met = rows.groupBy("code", "pad").agg(F.array_sort(F.collect_set("by")).alias("colours"))
+        elif mode == "weighted":
+            met = rows.groupBy("code", "pad").agg(F.sum("n").alias("n"))
+        else:
+            met = rows.select("code", "pad").distinct()
+        return packed.settle(met, k, flags)
     keep = [seq, colour] if mode == "coloured" else [seq]
     rows = K.edges(K.strands(K.fragments(seqs.select(*keep), k, seq), seq), k, seq)
     if mode == "coloured":
         padded = F.col("node").contains("$") | (F.col("sym") == "$")
         rows = rows.select("node", "sym", F.when(padded, F.lit(0)).otherwise(F.col(colour)).cast("bigint").alias("colour"))
-        met = rows.distinct()
+        met = rows.groupBy("node", "sym").agg(F.array_sort(F.collect_set("colour")).alias("colours"))
     elif mode == "weighted":
         met = rows.groupBy("node", "sym").agg(F.count("*").alias("n"))
     else:
@@ -37,10 +49,8 @@ def build(seqs: DataFrame, k: int, mode: str = "plain", seq: str = "seq", colour
 
 
 def settle(edges: DataFrame, k: int, flags: bool = False) -> DataFrame:
-    """Colour rows (node, sym, colour) to sets, ``$`` edges pruned and flags added within blocks of nodes."""
+    """``$`` edges pruned and flags added within blocks of nodes."""
     blocks = edges.withColumn("_block", F.substring("node", 2, k - 1)).repartition("_block")
-    if "colour" in edges.columns:
-        blocks = blocks.groupBy("_block", "node", "sym").agg(F.array_sort(F.collect_set("colour")).alias("colours"))
     real = F.max(F.col("sym") != "$").over(Window.partitionBy("_block", "node"))
     out = blocks.withColumn("_real", real).where((F.col("sym") != "$") | ~F.col("_real")).drop("_real")
     if flags:
@@ -148,10 +158,11 @@ def neighbours(edges: DataFrame, wanted: DataFrame, width: int = 100_000) -> Dat
 
 
 def difference_class(edges: DataFrame, k: int) -> DataFrame:
-    """Per node its relation to the node before it in order: SAME_BLOCK (last k - 1 symbols equal) or NEW."""
-    nodes = edges.select("node").distinct().withColumn("tail", F.substring("node", 2, k - 1))
-    w = Window.partitionBy("tail").orderBy(F.reverse("node"))
-    return nodes.select("node", F.when(F.row_number().over(w) == 1, "NEW").otherwise("SAME_BLOCK").alias("class"))
+    """(node, sym, class): how an edge's node differs from that of the edge before it in order: SAME_NODE, SAME_BLOCK (only the
+    last k - 1 symbols are equal) or NEW. Edges of a block follow each other, so blocks are looked at by themselves."""
+    w = Window.partitionBy(F.substring("node", 2, k - 1)).orderBy(F.reverse("node"), "sym")
+    before = F.lag("node").over(w)
+    return edges.select("node", "sym", F.when(before.isNull(), "NEW").when(before == F.col("node"), "SAME_NODE").otherwise("SAME_BLOCK").alias("class"))
 
 
 def colour_ids(df: DataFrame, seed: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import dna
+from strandflow.operators import packed
 
 
 def fragments(seqs: DataFrame, k: int, seq: str = "seq", alphabet: str = "N") -> DataFrame:
@@ -40,22 +41,16 @@ def edges(frags: DataFrame, k: int, seq: str = "seq") -> DataFrame:
 
 
 def count_kmers(seqs: DataFrame, k: int, seq: str = "seq", canonical: bool = False) -> DataFrame:
-    """(kmer, n) over both strands, or over canonical k-mers; counted map-side first."""
+    """(kmer, n) over both strands, or over canonical k-mers; counted map-side first, as codes up to 32 symbols."""
+    if k <= 32:
+        codes = packed.window_counts(seqs, k, seq, canonical).groupBy("code").agg(F.sum("n").alias("n"))
+        return codes.select(packed.decode(F.col("code"), F.lit(k)).alias("kmer"), "n")
     frags = fragments(seqs.select(seq), k, seq)
     if canonical:
         return kmers(frags, k, seq).select(dna.canonical(F.col("kmer")).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n"))
     return kmers(strands(frags, seq), k, seq).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def count_kmers_packed(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(kmer, n) over both strands as :func:`count_kmers`, with 8-byte codes in the shuffle instead of strings; k <= 31."""
-    if not 1 <= k <= 31:
-        raise ValueError("packed k-mers have at most 31 bases")
-    frags = fragments(seqs.select(seq), k, seq, "ACGT")
-    codes = strands(frags, seq).select(F.explode(dna.window_codes(F.col(seq), k)).alias("code"))
-    return codes.groupBy("code").agg(F.count("*").alias("n")).select(dna.code_to_kmer(F.col("code"), k).alias("kmer"), "n")
-
-
 def terminals(frags: DataFrame, k: int, seq: str = "seq", below: int | None = None) -> DataFrame:
     """Distinct padded prefixes (node, sym) of fewer than ``k`` symbols; ``below``: only those of fewer symbols than that."""
     most = k if below is None else min(below, k)

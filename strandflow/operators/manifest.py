@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = (
@@ -95,6 +95,23 @@ def taxonomy(manifest: DataFrame, complete_only: bool = True) -> DataFrame:
     return rows.select("accession", "taxid").orderBy("accession")
 
 
+def integrity(manifest: DataFrame) -> DataFrame:
+    """(accession, fault) of rows that no transition could have made; empty for a sound manifest."""
+    per = manifest.withColumn("_n", F.count("*").over(Window.partitionBy("accession")))
+    none = lambda c: F.col(c).isNull()
+    fault = (
+        F.when(none("accession") | (F.trim("accession") == ""), "no accession")
+        .when(F.col("_n") > 1, "accession repeated")
+        .when(none("state") | ~F.col("state").isin(*STATES), "unknown state")
+        .when(none("taxid"), "no taxid")
+        .when(none("package_id") | none("reserved_at"), "never reserved")
+        .when((F.col("state") == "complete") == none("completed_at"), "completion and state differ")
+        .when((F.col("state") == "failed") == none("error"), "error and state differ")
+        .when((F.col("state") == "cleaning") & none("cleanup_started_at"), "cleanup without a start")
+    )
+    return per.select("accession", fault.alias("fault")).where("fault is not null")
+
+
 def check_version(found: int) -> None:
     if found != SCHEMA_VERSION:
         raise ValueError(f"schema version {found}, expected {SCHEMA_VERSION}")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandflow.operators.order import running_sum
+
 SUMS = ("elapsed_seconds", "user_seconds", "system_seconds", "major_page_faults", "minor_page_faults", "voluntary_context_switches", "involuntary_context_switches", "filesystem_inputs", "filesystem_outputs")
 
 
@@ -33,8 +35,9 @@ def sample(df: DataFrame, key: Column, n: int, seed: int) -> DataFrame:
 
 def to_prune(files: DataFrame, most_bytes: int) -> DataFrame:
     """Files to delete, oldest first, until at most ``most_bytes`` are left: (file, size, modified)."""
-    newest = Window.orderBy(F.desc("modified"), F.desc("file")).rowsBetween(Window.unboundedPreceding, 0)  # one cache folder's listing
-    return files.withColumn("_kept", F.sum("size").over(newest)).where(F.col("_kept") > most_bytes).drop("_kept")
+    ranked = running_sum(files, [F.col("modified"), F.col("file")], "size", "_upto", "cache")
+    whole = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]  # one number
+    return ranked.where(F.lit(whole) - F.col("_upto") + F.col("size") > most_bytes).drop("_upto")
 
 
 def total_size(files: DataFrame) -> DataFrame:

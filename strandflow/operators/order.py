@@ -25,6 +25,19 @@ def number_rows(df: DataFrame, order: list[Column], name: str, start: int = 0, l
     return placed.join(F.broadcast(shifts), "_p").withColumn(name, F.col("_r") + F.col("_b") + F.lit(start)).drop("_p", "_r", "_m", "_b")
 
 
+def running_sum(df: DataFrame, order: list[Column], value: str, name: str, label: str = "running") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows up to this one in a total order, from sums per range of it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [f"_o{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(keys, order))).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = materialise(ranged.withColumn("_m", F.monotonically_increasing_id()), label).withColumn("_p", F.shiftright("_m", 33))
+    sums = placed.groupBy("_p").agg(F.sum(value).alias("_n"))  # one row per partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(value).over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    met = placed.withColumn("_r", inside).join(F.broadcast(sums.withColumn("_b", before).drop("_n")), "_p")
+    return met.withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_m", "_b")
+
+
 def locate(points: DataFrame, chunks: DataFrame, point: str, bucket: int = 4096) -> DataFrame:
     """``points`` with ``chunk_no``: the chunk (chunk_no, start, count) whose [start, start + count) holds the point, else -1."""
     from strandflow.operators.annotations import overlap_join

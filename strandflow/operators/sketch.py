@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions import dna
+from strandflow.functions.session import materialise
 from strandflow.operators import kmers as K
+from strandflow.operators import packed
+from strandflow.operators.skew import salted_join
 
 
 def max_hash(scaled: int) -> str:
@@ -21,6 +24,9 @@ def hash16(kmer: Column) -> Column:
 
 def sketch(seqs: DataFrame, k: int, scaled: int, name: str = "name", seq: str = "seq") -> DataFrame:
     """(name, hash): distinct hashes below the bound of the canonical k-mers of each name."""
+    if k <= 32:
+        codes = packed.window_counts(seqs, k, seq, canonical=True, by=name)
+        return codes.select(name, hash16(packed.decode(F.col("code"), F.lit(k))).alias("hash")).where(F.col("hash") < max_hash(scaled)).distinct()
     rows = K.kmers(K.fragments(seqs.select(name, seq), k, seq), k, seq)
     return rows.select(name, hash16(dna.canonical(F.col("kmer"))).alias("hash")).where(F.col("hash") < max_hash(scaled)).distinct()
 
@@ -54,9 +60,11 @@ def pairwise(sketches: DataFrame, k: int, group: str | None = None) -> DataFrame
     keys = [group] if group else []
     sizes = sketches.groupBy(*keys, "name").agg(F.count("*").alias("size"))
     met = sketches.groupBy(*keys, "hash").agg(F.count("*").alias("_df")).where("_df > 1").drop("_df")
-    inner = sketches.join(met, [*keys, "hash"])
-    a, b = inner.withColumnRenamed("name", "query_name"), inner.withColumnRenamed("name", "match_name")
-    shared = a.join(b, [*keys, "hash"]).where("query_name < match_name").groupBy(*keys, "query_name", "match_name").agg(F.count("*").alias("intersect_hashes"))
+    inner = materialise(sketches.join(met, [*keys, "hash"]).select(*keys, F.concat_ws("\u0001", *keys, "hash").alias("_h"), "name"), "sketch-shared")
+    # a hash of very many names meets itself in slices
+    other = inner.select("_h", F.col("name").alias("match_name"))
+    both = salted_join(inner.withColumnRenamed("name", "query_name"), inner.count(), "_h", other, "query_name")
+    shared = both.where("query_name < match_name").groupBy(*keys, "query_name", "match_name").agg(F.count("*").alias("intersect_hashes"))
     out = shared.join(sizes.select(*keys, F.col("name").alias("query_name"), F.col("size").alias("query_size")), [*keys, "query_name"])
     out = out.join(sizes.select(*keys, F.col("name").alias("match_name"), F.col("size").alias("match_size")), [*keys, "match_name"])
     cq, cm = F.col("intersect_hashes") / F.col("query_size"), F.col("intersect_hashes") / F.col("match_size")
@@ -73,7 +81,7 @@ def reverse_index(sketches: DataFrame, path: str, partitions: int) -> None:
 
 def screen(queries: DataFrame, index: DataFrame, scaled: int, threshold_bp: int) -> DataFrame:
     """Matches of each query whose shared hashes stand for at least ``threshold_bp`` bases."""
-    found = queries.join(index.withColumnRenamed("name", "match_name"), "hash").groupBy(F.col("name").alias("query_name"), "match_name").agg(F.count("*").alias("intersect_hashes"))
+    found = salted_join(queries, queries.count(), "hash", index.withColumnRenamed("name", "match_name"), "name").groupBy(F.col("name").alias("query_name"), "match_name").agg(F.count("*").alias("intersect_hashes"))
     hits = found.where(F.col("intersect_hashes") * scaled >= threshold_bp)
     sizes = index.groupBy(F.col("name").alias("match_name")).agg(F.count("*").alias("match_size"))
     return hits.join(sizes, "match_name").withColumn("match_containment", F.col("intersect_hashes") / F.col("match_size"))

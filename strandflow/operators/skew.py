@@ -35,3 +35,17 @@ def lookup(df: DataFrame, key: str, table: DataFrame, how: str = "left", one_tas
     warm = F.broadcast(table.join(hot, key, "left_semi"))
     near = df.join(hot, key, "left_semi").join(warm, key, how)
     return near.unionByName(df.join(hot, key, "left_anti").join(table, key, how))
+
+
+def salted_join(df: DataFrame, rows: int, key: str, other: DataFrame, spread: str) -> DataFrame:
+    """``df`` (``rows`` rows) joined to ``other`` (several rows per ``key``) where a key may be in very many rows of ``df``: those
+    are dealt to slices by ``spread``, and ``other``'s rows of the key go to each."""
+    least = hot_from(df, rows)
+    if rows <= least:
+        return df.join(other, key)
+    hot = df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    slices = F.broadcast(materialise(hot.select(key, F.ceil(F.col("_n") / least).cast("int").alias("_s")), "hot-slices"))  # at most MOST_HOT rows
+    one = F.coalesce(F.col("_s"), F.lit(1))
+    left = df.join(slices, key, "left").withColumn("_k", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_s")
+    right = other.join(slices, key, "left").withColumn("_k", F.explode(F.sequence(F.lit(0), one - 1))).drop("_s")
+    return left.join(right, [key, "_k"]).drop("_k")

@@ -44,11 +44,6 @@ def text_sequences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", seq.alias("seq"))
 
 
-def _text_pieces(spark, d, k):
-    """Pieces with the windows of the texts: cutting windows takes time by the square of a row's length."""
-    return K.chunks(K.fragments(text_sequences(spark, d), k), TEXT_CHUNK, k - 1)
-
-
 def _by_source():
     from pyspark.sql import Window
 
@@ -90,7 +85,7 @@ def kmer_count_both_strands(spark, d):
 
 
 def kmer_count_packed(spark, d):
-    return K.count_kmers_packed(sequences(spark, d), 2 * KMER)
+    return K.count_kmers(sequences(spark, d), 2 * KMER)
 
 
 def kmer_count_canonical(spark, d):
@@ -144,11 +139,11 @@ def chunks_with_overlap(spark, d):
 
 
 def kmer_count_text(spark, d):
-    return K.count_kmers(_text_pieces(spark, d, KMER), KMER)
+    return K.count_kmers(text_sequences(spark, d), KMER)
 
 
 def sketch_text(spark, d):
-    return S.sketch(_text_pieces(spark, d, TEXT_K), TEXT_K, TEXT_SCALED, "doc_id")
+    return S.sketch(text_sequences(spark, d), TEXT_K, TEXT_SCALED, "doc_id")
 
 
 def chunks_text(spark, d):
@@ -345,8 +340,8 @@ SELECT sym, (SELECT count(*) FROM e WHERE right(node, 1) < sy.sym) AS f, (SELECT
         "dbg_node_ranges": f"{num} SELECT node, min(eid) AS open, max(eid) AS close FROM x GROUP BY 1",
         "dbg_labels": f"{num} SELECT eid, replace(node || sym, '$', '') AS label FROM x",
         "dbg_rank": f"{num} SELECT eid, sym, count(*) OVER (PARTITION BY sym ORDER BY eid) AS rank FROM x",
-        "dbg_difference_class": f"""{base} SELECT node, CASE WHEN row_number() OVER (PARTITION BY substr(node, 2) ORDER BY reverse(node)) = 1 THEN 'NEW' ELSE 'SAME_BLOCK' END AS class
-FROM (SELECT DISTINCT node FROM e)""",
+        "dbg_difference_class": f"""{base}, g AS (SELECT node, sym, lag(node) OVER (ORDER BY reverse(node), sym) AS b FROM e)
+SELECT node, sym, CASE WHEN b = node THEN 'SAME_NODE' WHEN substr(b, 2) = substr(node, 2) THEN 'SAME_BLOCK' ELSE 'NEW' END AS class FROM g""",
         "dbg_coverage": f"WITH {_S}, {_BOTH}, {_edge_rows(k)} SELECT node, substr(node, 2) || sym AS target, colour, count(*) AS n FROM rows_ WHERE sym <> '$' GROUP BY ALL",
         "dbg_merge_order": f"{base}, {_term(k).format(k)} SELECT node, sym, 1 AS is_terminal FROM t UNION ALL SELECT node, sym, 0 FROM e WHERE NOT contains(node, '$')",
         "classify_left_join": f"""{classify}, qn AS (SELECT node, sym, row_number() OVER (ORDER BY reverse(node), sym) - 1 AS eid FROM q),

@@ -6,6 +6,8 @@ of different ids, files of different lengths, an odd number of interleaved recor
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,65 @@ def _fail(condition: Column, message: str) -> Column:
     return F.when(condition, F.raise_error(F.lit("FASTQ: " + message)).cast("string"))
 
 
+_PARTS = "file string, record_no bigint, head string, seq string, plus string, qual string, n int"
+
+
+def _assemble(batches):
+    """Records whose four lines follow each other here; the lines of others one by one, which are few: those at a split's ends."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        yield from _records(rows.slice(0, max(0, rows.num_rows - 3)), rows)
+        held = rows.slice(max(0, rows.num_rows - 3))
+        held = held.filter(pa.array(_tail(rows)[-held.num_rows :])) if held.num_rows else held
+    if held is not None and held.num_rows:
+        yield from _records(held, held)
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    """Where a whole record begins: a first line whose three next lines are the next three rows."""
+    line = rows.column("line_no").to_numpy()
+    file = rows.column("file").combine_chunks().dictionary_encode()
+    code = file.indices.to_numpy(zero_copy_only=False) if isinstance(file, pa.DictionaryArray) else file.combine_chunks().indices.to_numpy(zero_copy_only=False)
+    n = max(0, len(line) - 3)
+    return np.flatnonzero((line[:n] % 4 == 0) & (line[3:] == line[:n] + 3) & (code[3:] == code[:n])) if n else np.empty(0, np.int64)
+
+
+def _tail(rows: pa.Table) -> np.ndarray:
+    """Which rows are in no whole record."""
+    lone = np.ones(rows.num_rows, bool)
+    for i in range(4):
+        lone[_starts(rows) + i] = False
+    return lone
+
+
+def _records(settled: pa.Table, rows: pa.Table):
+    """Whole records of ``rows``, and the lone lines among the first ``settled``."""
+    start = _starts(rows)
+    line, value = rows.column("line_no").to_numpy(), rows.column("value")
+    if len(start):
+        cells = [value.take(pa.array(start + i)).combine_chunks() for i in range(4)]
+        yield _batch(rows.column("file").take(pa.array(start)), line[start] // 4, cells, 4)
+    lone = np.flatnonzero(_tail(rows)[: settled.num_rows])
+    if len(lone):
+        texts, which = value.take(pa.array(lone)).to_pylist(), line[lone] % 4
+        cells = [pa.array([t if w == i else None for t, w in zip(texts, which)], pa.string()) for i in range(4)]
+        yield _batch(rows.column("file").take(pa.array(lone)), line[lone] // 4, cells, 1)
+
+
+def _batch(file, record, cells, n) -> pa.RecordBatch:
+    flat = lambda c: pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+    cols = [flat(file).cast(pa.string()), pa.array(record, pa.int64()), *[flat(c).cast(pa.string()) for c in cells], pa.array(np.full(len(record), n), pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _PARTS.split(", ")])
+
+
 def records(lines: DataFrame) -> DataFrame:
     """(file, record_no, read_id, seq, qual) from numbered lines; blank lines at the end are left out."""
-    kept = lines.where(F.length("value") > 0)
-    rows = kept.groupBy("file", F.floor(F.col("line_no") / 4).alias("record_no")).agg(
-        *[F.max(F.when(F.col("line_no") % 4 == i, F.col("value"))).alias(n) for i, n in enumerate(("head", "seq", "plus", "qual"))], F.count("*").alias("n")
-    )
+    kept = lines.where(F.length("value") > 0).select("file", F.col("line_no").cast("bigint").alias("line_no"), "value")
+    parts = kept.mapInArrow(_assemble, _PARTS)
+    names_of = ("head", "seq", "plus", "qual")
+    split = parts.where("n < 4").groupBy("file", "record_no").agg(*[F.max(n).alias(n) for n in names_of], F.sum("n").cast("int").alias("n"))
+    rows = parts.where("n = 4").unionByName(split)
     error = F.coalesce(
         _fail(F.col("n") != 4, "truncated record"),
         _fail(~F.col("head").startswith("@"), "header without @"),

@@ -26,6 +26,29 @@ def staged(df: DataFrame, path: str, write) -> None:
         raise OSError(f"could not move {part} to {path}")
 
 
+FINAL = "_FINAL"
+
+
+def finalise(spark: SparkSession, path: str) -> None:
+    """Mark the tables below ``path`` as final; a second time raises. Writers ask :func:`require_open` first."""
+    require_open(spark, path)
+    fs, p = _fs(spark, f"{path.rstrip('/')}/{FINAL}")
+    fs.create(p, False).close()
+
+
+def require_open(spark: SparkSession, path: str) -> None:
+    """Raises if the tables below ``path`` are final."""
+    fs, p = _fs(spark, f"{path.rstrip('/')}/{FINAL}")
+    if fs.exists(p):
+        raise PermissionError(f"{path} is final")
+
+
+def append_rows(df: DataFrame, path: str, name: str) -> None:
+    """Rows added to the table ``name`` of an index below ``path`` that isn't final."""
+    require_open(df.sparkSession, path)
+    df.write.mode("append").parquet(f"{path.rstrip('/')}/{name}")
+
+
 def save_csv(df: DataFrame, path: str) -> bool:
     """Gzipped CSV with a header; nothing is written for an empty table."""
     if not df.take(1):

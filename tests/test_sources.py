@@ -12,7 +12,7 @@ from strandflow.sources import fasta, fastq, gff, lines, manifests, sinks
 GFF = "\n".join(
     [
         "##gff-version 3",
-        "genome1\tP\tregion\t1\t24\t.\t+\t0\tID=genome1",
+        "genome1\tbakta\tregion\t1\t24\t.\t+\t0\tID=genome1",
         "genome1\tP\tCDS\t1\t5\t.\t+\t0\tID=A1;Dbxref=SO:0001217,UniRef:X:1",
         "",
         " genome1\tP\tCDS\t11\t16\t.\t-\t0\t Parent=A1 ; Name=n \r",
