@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandflow.plans import catalogue_queries, data_problems, sequence_queries
+from strandflow.plans import catalogue_queries, data_problems, file_queries, sequence_queries
 
-_MODULES = (sequence_queries, catalogue_queries, data_problems)
+_MODULES = (sequence_queries, catalogue_queries, data_problems, file_queries)
 ENTRY = sequence_queries.kmer_overview
 
 

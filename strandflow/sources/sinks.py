@@ -88,9 +88,9 @@ def fasta_lines(df: DataFrame, seq_id: str, seq: str, width: int = 60) -> DataFr
     return df.select(F.concat(F.lit(">"), F.col(seq_id), F.lit("\n"), F.array_join(cut, "\n")).alias("value"))
 
 
-def fastq_lines(df: DataFrame, read_id: str, seq: str) -> DataFrame:
-    """(value): FASTQ text of each row with one constant quality."""
-    return df.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col(read_id)), F.col(seq), F.lit("+"), F.repeat(F.lit("I"), F.length(seq))).alias("value"))
+def fastq_lines(df: DataFrame, read_id: str, seq: str, keep: list[str] = ()) -> DataFrame:
+    """(``keep``, value): FASTQ text of each row with one constant quality."""
+    return df.select(*keep, F.concat_ws("\n", F.concat(F.lit("@"), F.col(read_id)), F.col(seq), F.lit("+"), F.repeat(F.lit("I"), F.length(seq))).alias("value"))
 
 
 def save_json(df: DataFrame, path: str) -> None:

@@ -25,7 +25,19 @@ def _manifest_files(spark: SparkSession, manifest: str, column: int, separator:
     kinds = {r.file_type for r in rows}
     if len(kinds) != 1 or not kinds <= {"FASTA", "GFF"}:
         raise ValueError(f"a build takes FASTA or GFF files, not {sorted(kinds)}")
-    return [r.value for r in rows]
+    return manifests.require_files(spark, [r.value for r in rows])
+
+
+def read_sequences(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, seq) of FASTA and FASTQ files by their extension; of FASTQ reads the ACGT fragments."""
+    is_reads = lambda f: f.removesuffix(".gz").lower().endswith(names.FASTQ_EXTENSIONS)
+    reads, contigs = [f for f in files if is_reads(f)], [f for f in files if not is_reads(f)]
+    parts = []
+    if contigs:
+        parts.append(fasta.read_fasta(spark, contigs).select("file", "seq"))
+    if reads:
+        parts.append(fastq.unpaired(spark, reads).select("file", F.explode("fragments.seq").alias("seq")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def construct_coloured(spark: SparkSession, files: list[str], k: int, out: str) -> DataFrame:
@@ -56,11 +68,11 @@ def load_coloured(spark: SparkSession, path: str) -> DataFrame:
     return edges.join(sets, "meta_id", "left").withColumn("colours", F.coalesce("colours", F.array("meta_id"))).drop("meta_id")
 
 
-def construct_weighted(spark: SparkSession, forward: str, reverse: str | None, k: int, out: str) -> DataFrame:
-    """Weighted graph of the fragments of single or paired FASTQ files, stored with ids below ``out``."""
+def construct_weighted(spark: SparkSession, forward: str, reverse: str | None, k: int, out: str, weighted: bool = True) -> DataFrame:
+    """Weighted (or, with ``weighted=False``, plain) graph of the fragments of single or paired FASTQ files, stored with ids below ``out``."""
     reads = fastq.paired(spark, forward, reverse) if reverse else fastq.unpaired(spark, forward)
     seqs = reads.select(F.explode("fragments.seq").alias("seq"))
-    _store(graph.with_ids(graph.build(seqs, k, "weighted", flags=True)), f"{out}/edges")
+    _store(graph.with_ids(graph.build(seqs, k, "weighted" if weighted else "plain", flags=True)), f"{out}/edges")
     return spark.read.parquet(f"{out}/edges")
 
 
@@ -73,13 +85,13 @@ def classify_sample(spark: SparkSession, sample: str, reference: str, out: str)
 
 
 def sketch_files(spark: SparkSession, files: list[str], k: int, scaled: int, out: str) -> DataFrame:
-    """(name, hash) of every FASTA file not sketched below ``out`` yet."""
+    """(name, hash) of every FASTA or FASTQ file not sketched below ``out`` yet."""
     done = spark.read.parquet(out).select("name").distinct() if _there(spark, out) else None
     listed = spark.createDataFrame([(f,) for f in files], "path string").withColumn("name", names.sequence_name(F.col("path")))
     todo = listed if done is None else catalog.pending(listed, done, "name")
     paths = [r.path for r in todo.collect()]
     if paths:
-        seqs = fasta.read_fasta(spark, paths).withColumn("name", names.sequence_name(F.col("file")))
+        seqs = read_sequences(spark, paths).withColumn("name", names.sequence_name(F.col("file")))
         sketch.sketch(seqs, k, scaled).write.mode("append").parquet(out)
     return spark.read.parquet(out)
 
@@ -98,7 +110,7 @@ def cluster_sketches(sketches: DataFrame, k: int, thresholds: list[float]) -> Da
 
 def screen_files(spark: SparkSession, files: list[str], index: DataFrame, k: int, scaled: int, threshold_bp: int, out: str) -> DataFrame:
     """Hits of sample files against an index, one folder per sample below ``out``, also for samples without hits."""
-    seqs = fasta.read_fasta(spark, files).withColumn("name", names.sequence_name(F.col("file")))
+    seqs = read_sequences(spark, files).withColumn("name", names.sequence_name(F.col("file")))
     queries = sketch.sketch(seqs, k, scaled)
     hits = sketch.screen(queries, index, scaled, threshold_bp)
     rows = hits.select(F.col("query_name").alias("accession"), F.struct("match_name", "intersect_hashes", "match_containment").alias("hit")).groupBy("accession").agg(F.collect_list("hit").alias("hits"))
