@@ -100,6 +100,7 @@ class Origins:
         self.n = y.shape[1]
         self.whole, self.mass = y.sum(0), float(max(len(docs), 1))
         self.seen: dict[tuple, np.ndarray] = {}
+        self.ratios: dict[tuple, np.ndarray | None] = {}  # of values without a label to leave out
         for values, row in zip(docs, y):
             for v in values:
                 if v not in self.seen:
@@ -109,25 +110,37 @@ class Origins:
 
     def features(self, values: list[tuple[str, str]], own: np.ndarray | None = None) -> np.ndarray:
         """(subjects, kinds): the mean and, for words, the furthest ratio of each kind. ``own``: labels to leave out again."""
-        base = (self.whole - (own if own is not None else 0) + 0.5) / (self.mass + 5)
-        per: dict[str, list] = {k: [] for k in ORIGINS}
+        per: dict[str, list] = {}
         for v in values:
-            got = self.seen.get(v)
-            if got is None:
-                continue
-            n, total = got[:-1], got[-1]
-            if own is not None:
-                n, total = n - own, total - 1
-            per[v[0]].append(np.log((n + PRIOR * base) / ((total + PRIOR) * base)))
+            if own is None:
+                if v not in self.ratios:
+                    if len(self.ratios) >= MEMO:
+                        self.ratios.clear()
+                    self.ratios[v] = self._ratio(v, None)
+                got = self.ratios[v]
+            else:
+                got = self._ratio(v, own)
+            if got is not None:
+                per.setdefault(v[0], []).append(got)
         out = np.zeros((self.n, len(ORIGINS) + 2))
         for k, kind in enumerate(ORIGINS):
-            if per[kind]:
-                out[:, k] = np.mean(per[kind], axis=0)
-        for k, kind in enumerate(("folder", "name")):
-            if per[kind]:
-                out[:, len(ORIGINS) + k] = np.max(per[kind], axis=0)
+            if kind in per:
+                found = per[kind]
+                out[:, k] = found[0] if len(found) == 1 else np.mean(found, axis=0)
+                if kind in ("folder", "name"):
+                    out[:, k + 2] = found[0] if len(found) == 1 else np.max(found, axis=0)
         return out
 
+    def _ratio(self, v: tuple[str, str], own: np.ndarray | None) -> np.ndarray | None:
+        got = self.seen.get(v)
+        if got is None:
+            return None
+        n, total, whole = got[:-1], got[-1], self.whole
+        if own is not None:
+            n, total, whole = n - own, total - 1, whole - own
+        base = (whole + 0.5) / (self.mass + 5)
+        return np.log((n + PRIOR * base) / ((total + PRIOR) * base))
+
 
 class Corpus:
     """Terms of labelled documents as flat arrays: document, term, damped occurrences."""
