@@ -12,7 +12,7 @@ containers. Containers close with their window: documents of those that are less
 most) go back to the head of their queues, with their share, so a window holds what the round-robin chose for it and hardly
 any room is left.
 
-A document is cut only if it exceeds the capacity: into full containers and a rest that is packed like a document.
+A document is cut only if it exceeds the capacity: into full containers and a rest, which queue like documents.
 
 Defined results: null and empty texts have 0 tokens and still get a place; a null source is a source of its own; target
 shares default to the corpus's own, so that nothing is left over; a target for a source that has no tokens is left out and
@@ -36,7 +36,7 @@ CAPACITY = 2048
 ITEMS_PER_BUCKET = 20_000
 CONTAINERS_PER_WINDOW = 64
 #: Containers less full than this give their documents back, unless nothing else is left.
-FULL = 0.97
+FULL = 0.93
 #: Buckets whose totals one window function takes; their sums go to the next level.
 BUCKETS_PER_GROUP = 10_000
 
@@ -106,19 +106,18 @@ def pack_bucket(sizes, sources, carries, shares, capacity: int, first_id: int):
     queues: dict = {}
     carry: dict = {}
     for i, (n, s, c) in enumerate(zip(sizes, sources, carries)):
-        queues.setdefault(s, deque()).append((n, i, 0))  # tokens left to place, item, tokens placed before
+        q, begin = queues.setdefault(s, deque()), 0
+        while n > capacity:  # pieces of a document above the capacity queue one by one, so that none fills a window alone
+            q.append((capacity, i, begin))
+            n, begin = n - capacity, begin + capacity
+        q.append((n, i, begin))  # tokens, item, tokens before
         carry[s] = c
     mixer, out = Mixer(queues, shares, carry, capacity), []
     box, window = first_id, 0
     while mixer:
-        rests = []
-        for s, (n, i, begin) in mixer.window(capacity * CONTAINERS_PER_WINDOW):
-            while n > capacity:  # full containers of a document above the capacity; what is left is packed like any other
-                out.append((i, begin // capacity, box, window, begin, 0, capacity))
-                box, n, begin = box + 1, n - capacity, begin + capacity
-            rests.append((s, (n, i, begin)))
-        boxes = best_fit([item[0] for _, item in rests], capacity)
-        fill = [sum(rests[k][1][0] for k in held) for held in boxes]
+        taken = mixer.window(capacity * CONTAINERS_PER_WINDOW)
+        boxes = best_fit([item[0] for _, item in taken], capacity)
+        fill = [sum(taken[k][1][0] for k in held) for held in boxes]
         # the emptiest give back, at most a quarter, so that a bucket of documents that don't fit together ends as well
         loose = sorted((n, k) for k, n in enumerate(fill) if n < FULL * capacity)[: len(boxes) // 4] if mixer else []
         loose = {k for _, k in loose}
@@ -129,12 +128,12 @@ def pack_bucket(sizes, sources, carries, shares, capacity: int, first_id: int):
                 continue
             at = 0
             for k in held:
-                n, i, begin = rests[k][1]
+                n, i, begin = taken[k][1]
                 out.append((i, begin // capacity, box, window, begin, at, n))
                 at += n
             box += 1
         for k in sorted(back, reverse=True):
-            mixer.give_back(*rests[k])
+            mixer.give_back(*taken[k])
         window += 1
     return out
 
